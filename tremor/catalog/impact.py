@@ -41,8 +41,8 @@ def e04(spark, sf):
 
 # Questions of every kind: exact target, target known only in part, symbol, file, and a miss.
 QUESTIONS = """SELECT * FROM (VALUES ('q1', 'part:17', NULL, NULL), ('q2', 'urgent bolt', NULL, NULL), ('q3', NULL, 'NATION_1', NULL),
-  ('q4', NULL, NULL, 'src/brand_12/part_7.py'), ('q5', 'missing:3', NULL, NULL), ('q6', 'nowhere at all', NULL, NULL), ('q7', NULL, 'er:9', NULL),
-  ('q8', NULL, NULL, 'repo/src/core/nation_3.py')) AS v(query_id, target, symbol, file_path)"""
+  ('q4', NULL, NULL, 'src/brand_12/part_7'), ('q5', 'missing:3', NULL, NULL), ('q6', 'nowhere at all', NULL, NULL), ('q7', NULL, 'er:9', NULL),
+  ('q8', NULL, NULL, 'repo/src/core/nation_1.py')) AS v(query_id, target, symbol, file_path)"""
 _Q = f"""questions AS ({QUESTIONS}), asked AS (SELECT query_id, coalesce(symbol, file_path, target) AS q,
    CASE WHEN file_path IS NOT NULL THEN 'f' WHEN symbol IS NOT NULL THEN 's' ELSE 't' END AS mode FROM questions),
  hit AS (SELECT query_id, id FROM asked, nodes WHERE mode = 'f' AND (contains(file, q) OR contains(q, file) OR contains(id, q))
@@ -94,12 +94,12 @@ def e08(spark, sf):
     return out["reached"].select("node_id", "chain")
 
 
-@query("E09_path_status", using("active") + walk_sql(_ONE_SEED, DEPTH, "downstream") +
-       ", w2 AS (SELECT 1) SELECT node_id, CASE WHEN proven THEN 'confirmed' ELSE 'likely' END AS status FROM visited WHERE depth > 0")
+@query("E09_path_status", using("active") + walk_sql(_ONE_SEED, DEPTH, "upstream") +
+       "SELECT node_id, CASE WHEN proven THEN 'confirmed' ELSE 'likely' END AS status FROM visited WHERE depth > 0")
 def e09(spark, sf):
     edges = cut(Q.edge_quality(graph_edges(spark, sf)))
     seeds = spark.sql(_ONE_SEED)
-    reached, _ = I.impact_batch(edges, seeds, "downstream", DEPTH)
+    reached, _ = I.impact_batch(edges, seeds, "upstream", DEPTH)
     return reached.select("node_id", I.path_status().alias("status"))
 
 

@@ -187,7 +187,7 @@ def chain_status(confidence: Column, ambiguous: Column, unresolved: Column, labe
 def criticality(kind: Column | str = "kind", stated: Column | str = "criticality", table: dict | None = None,
                 default: float = C.DEFAULT_CRITICALITY) -> Column:
     by_kind = X.lookup(F.upper(X.col(kind)), {**C.CRITICALITY_BY_KIND, **(table or {})}, default)
-    return F.coalesce(F.greatest(X.col(stated), F.lit(0.0)), by_kind)
+    return F.when(X.col(stated).isNotNull(), F.greatest(X.col(stated), F.lit(0.0))).otherwise(by_kind)
 
 
 def rank_impact(reached: DataFrame, decay: float = C.DECAY, default: float = C.DEFAULT_CRITICALITY,

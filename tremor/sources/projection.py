@@ -16,28 +16,28 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 NODES = """
 SELECT concat('region:', r_regionkey) AS id, 'PROJECT' AS kind, r_name AS name,
-       concat('src/core/region_', r_regionkey % 50, '.py') AS file, CAST(r_regionkey % 400 AS INT) AS line,
+       concat('src/core/region_', CAST(floor(r_regionkey / 20) AS BIGINT), '.py') AS file, CAST(r_regionkey % 20 * 20 AS INT) AS line,
        CAST(NULL AS DOUBLE) AS criticality FROM @region
 UNION ALL
 SELECT concat('nation:', n_nationkey), 'MODULE', n_name,
-       concat('src/core/nation_', n_nationkey % 50, '.py'), CAST(n_nationkey % 400 AS INT), CAST(NULL AS DOUBLE) FROM @nation
+       concat('src/core/nation_', CAST(floor(n_nationkey / 20) AS BIGINT), '.py'), CAST(n_nationkey % 20 * 20 AS INT), CAST(NULL AS DOUBLE) FROM @nation
 UNION ALL
 SELECT concat('customer:', c_custkey), 'CLASS', c_name,
-       concat('src/', lower(c_mktsegment), '/customer_', c_custkey % 50, '.py'), CAST(c_custkey % 400 AS INT),
+       concat('src/', lower(c_mktsegment), '/customer_', CAST(floor(c_custkey / 20) AS BIGINT), '.py'), CAST(c_custkey % 20 * 20 AS INT),
        CASE WHEN c_acctbal < 0 THEN 2.5 END FROM @customer
 UNION ALL
 SELECT concat('supplier:', s_suppkey), 'EXTERNAL_LIBRARY', s_name,
-       concat('vendor/supplier_', s_suppkey % 50, '.go'), CAST(s_suppkey % 400 AS INT), CAST(NULL AS DOUBLE) FROM @supplier
+       concat('vendor/supplier_', CAST(floor(s_suppkey / 20) AS BIGINT), '.go'), CAST(s_suppkey % 20 * 20 AS INT), CAST(NULL AS DOUBLE) FROM @supplier
 UNION ALL
 SELECT concat('part:', p_partkey), 'FUNCTION', p_name,
-       concat('src/', replace(lower(p_brand), '#', '_'), '/part_', p_partkey % 50, '.py'), CAST(p_partkey % 400 AS INT),
+       concat('src/', replace(lower(p_brand), '#', '_'), '/part_', CAST(floor(p_partkey / 20) AS BIGINT), '.py'), CAST(p_partkey % 20 * 20 AS INT),
        CASE WHEN p_size = 50 THEN 1.75 END FROM @part
 UNION ALL
 SELECT concat('order:', o_orderkey), CASE WHEN o_orderpriority = '1-URGENT' THEN 'ROUTE' ELSE 'METHOD' END,
        concat('order_', o_orderkey),
-       CASE WHEN o_orderstatus = 'P' THEN concat('tests/orders/test_order_', o_orderkey % 50, '.py')
-            ELSE concat('src/orders_', lower(o_orderstatus), '/order_', o_orderkey % 50, '.py') END,
-       CAST(o_orderkey % 400 AS INT), CAST(NULL AS DOUBLE) FROM @orders
+       CASE WHEN o_orderstatus = 'P' THEN concat('area_', CAST(floor(o_orderkey / 200) AS BIGINT), '/test_order_', CAST(floor(o_orderkey / 20) AS BIGINT), '.py')
+            ELSE concat('src/orders_', lower(o_orderstatus), '/order_', CAST(floor(o_orderkey / 20) AS BIGINT), '.py') END,
+       CAST(o_orderkey % 20 * 20 AS INT), CAST(NULL AS DOUBLE) FROM @orders
 """
 
 # One row per observation; several observations may describe the same edge. ``ord`` is the list order.
@@ -48,22 +48,22 @@ SELECT concat(from_id, '__', kind, '__', to_id) AS id, kind, from_id, to_id, sou
   SELECT concat('nation:', n_nationkey) AS from_id, concat('region:', n_regionkey) AS to_id, 'CONTAINS' AS kind,
          'EXTRACTED' AS source, CAST(1.0 AS DOUBLE) AS confidence, '' AS rule_id, CAST(NULL AS STRING) AS status,
          CAST(NULL AS STRING) AS warning, 'declared in nation' AS ev_text,
-         concat('src/core/nation_', n_nationkey % 50, '.py') AS ev_file, CAST(n_nationkey % 400 AS INT) AS ev_line,
+         concat('src/core/nation_', CAST(floor(n_nationkey / 20) AS BIGINT), '.py') AS ev_file, CAST(n_nationkey % 20 * 20 AS INT) AS ev_line,
          CAST(n_nationkey AS BIGINT) AS seq, CAST(0 AS BIGINT) AS seq2, CAST(NULL AS DATE) AS shipped FROM @nation
   UNION ALL
   SELECT concat('customer:', c_custkey), concat('nation:', c_nationkey), 'DECLARES', 'EXTRACTED', CAST(1.0 AS DOUBLE), '',
          CAST(NULL AS STRING), CAST(NULL AS STRING), 'customer of nation',
-         concat('src/', lower(c_mktsegment), '/customer_', c_custkey % 50, '.py'), CAST(c_custkey % 400 AS INT),
+         concat('src/', lower(c_mktsegment), '/customer_', CAST(floor(c_custkey / 20) AS BIGINT), '.py'), CAST(c_custkey % 20 * 20 AS INT),
          c_custkey, 0, CAST(NULL AS DATE) FROM @customer
   UNION ALL
   SELECT concat('supplier:', s_suppkey), concat('nation:', s_nationkey), 'DECLARES', 'EXTERNAL_TOOL', CAST(0.8 AS DOUBLE), '',
          CAST(NULL AS STRING), CAST(NULL AS STRING), 'supplier of nation',
-         concat('vendor/supplier_', s_suppkey % 50, '.go'), CAST(s_suppkey % 400 AS INT), s_suppkey, 0, CAST(NULL AS DATE)
+         concat('vendor/supplier_', CAST(floor(s_suppkey / 20) AS BIGINT), '.go'), CAST(s_suppkey % 20 * 20 AS INT), s_suppkey, 0, CAST(NULL AS DATE)
          FROM @supplier
   UNION ALL
   SELECT concat('order:', o_orderkey), concat('customer:', o_custkey), 'CALLS', 'INFERRED', CAST(0.9 AS DOUBLE), 'owner',
          CAST(NULL AS STRING), CAST(NULL AS STRING), 'order of customer',
-         concat('src/orders_', lower(o_orderstatus), '/order_', o_orderkey % 50, '.py'), CAST(o_orderkey % 400 AS INT),
+         concat('src/orders_', lower(o_orderstatus), '/order_', CAST(floor(o_orderkey / 20) AS BIGINT), '.py'), CAST(o_orderkey % 20 * 20 AS INT),
          o_orderkey, 0, CAST(o_orderdate AS DATE) FROM @orders
   UNION ALL
   SELECT concat('order:', l_orderkey),
@@ -75,7 +75,7 @@ SELECT concat(from_id, '__', kind, '__', to_id) AS id, kind, from_id, to_id, sou
               WHEN l_suppkey % 40 = 11 THEN 'confirmed' END,
          CASE WHEN l_suppkey % 23 = 0 THEN 'ambiguous target' WHEN l_suppkey % 29 = 0 THEN 'Method Mismatch on call' END,
          CASE WHEN l_linenumber < 7 THEN concat('ships line ', l_linenumber) END,
-         CASE WHEN l_linenumber < 7 THEN concat('src/lines/order_', l_orderkey % 50, '.py') END,
+         CASE WHEN l_linenumber < 7 THEN concat('src/lines/order_', CAST(floor(l_orderkey / 20) AS BIGINT), '.py') END,
          CASE WHEN l_linenumber < 7 THEN l_linenumber END,
          l_orderkey * 100000 + l_partkey * 10 + l_linenumber, l_suppkey, CAST(l_shipdate AS DATE) FROM @lineitem
 ) e
