@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
+_MARK = re.compile(r"@(" + "|".join(TABLES) + r")\b")
 
 NODES = """
 SELECT concat('region:', r_regionkey) AS id, 'PROJECT' AS kind, r_name AS name,
@@ -95,12 +96,12 @@ FROM @lineitem
 
 def spark_text(sql: str, sf_dir: str) -> str:
     """Point ``@table`` at the Parquet files for Spark."""
-    return re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql)
+    return _MARK.sub(lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql)
 
 
 def duck_text(sql: str) -> str:
     """Point ``@table`` at the registered views of the checking engine."""
-    return re.sub(r"@(\w+)", lambda m: m.group(1), sql)
+    return _MARK.sub(lambda m: m.group(1), sql)
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
