@@ -62,7 +62,8 @@ define("sup", "SELECT concat('repo_', s_suppkey) AS repo, s_suppkey AS k FROM @s
 
 
 def _files(spark, sf):
-    return P.run(spark, sf, FILES)
+    """The generated corpus as a stored table, as a real corpus would be."""
+    return cut(P.run(spark, sf, FILES))
 
 
 _GIT = "SELECT repo, path FROM ({files}) f UNION ALL SELECT concat('repo_', s_suppkey), 'app/.git/HEAD' FROM @supplier WHERE s_suppkey % 7 = 0"
@@ -226,10 +227,15 @@ def _deps(spark, sf):
     return cut(PR.external_imports(files)), direct, cut(PR.local_modules(files).where("ecosystem <> '*'")), dev
 
 
+def _classified(spark, sf):
+    imports, declared, local, dev = _deps(spark, sf)
+    return DP.classify_dependencies(imports, local, declared, dev)
+
+
 @query("B06_classify_dependencies", using("classified") + """SELECT repo, ecosystem, name, kind, CASE kind WHEN 'DEV_ONLY' THEN 0.92 WHEN 'DECLARED_THIRD_PARTY' THEN 0.94 WHEN 'KNOWN_COMMON_THIRD_PARTY' THEN 0.86 ELSE 0.7 END::DOUBLE AS confidence,
    kind = 'UNKNOWN_THIRD_PARTY' AS requires_research FROM classified""")
 def b06(spark, sf):
-    return DP.classify_dependencies(*_deps(spark, sf)).select("repo", "ecosystem", "name", "kind", "confidence", "requires_research")
+    return _classified(spark, sf).select("repo", "ecosystem", "name", "kind", "confidence", "requires_research")
 
 
 _RAW_NAMES = """SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN 'python' WHEN 1 THEN 'python' WHEN 2 THEN 'javascript' WHEN 3 THEN 'typescript' WHEN 4 THEN 'java' WHEN 5 THEN 'java' WHEN 6 THEN 'java' WHEN 7 THEN 'go' WHEN 8 THEN 'java' ELSE 'ruby' END AS ecosystem,
@@ -336,7 +342,7 @@ def b13(spark, sf):
   UNION ALL SELECT 'edges.' || CASE c WHEN 1 THEN 'GENERATED_ONLY' WHEN 2 THEN 'TEST_ONLY' WHEN 3 THEN 'UNREACHABLE_CANDIDATE' ELSE 'RUNTIME' END, count(*) FROM ann_e GROUP BY c UNION ALL SELECT 'edges.total', count(*) FROM ann_e
   UNION ALL SELECT 'dependencies.requires_research', count(*) FROM classified WHERE kind = 'UNKNOWN_THIRD_PARTY' UNION ALL SELECT 'files.dead_candidates', count(*) FROM role_rows WHERE i IN (22, 23)""")
 def b14(spark, sf):
-    return H.hygiene_summary(_roles(spark, sf), DP.classify_dependencies(*_deps(spark, sf)), _annotated(spark, sf), _ann_edges(spark, sf))
+    return H.hygiene_summary(_roles(spark, sf), _classified(spark, sf), _annotated(spark, sf), _ann_edges(spark, sf))
 
 
 _PACKS = "SELECT library FROM (VALUES ('numpy'), ('lib-small')) AS v(library)"
