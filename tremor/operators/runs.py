@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions import columns as X
+from tremor.plans.loops import CutTable
 
 CALL_KEY = ["caller", "callee", "caller_file", "caller_line", "callee_file", "callee_line", "test_id"]
 
@@ -64,40 +65,39 @@ def match_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     may differ by a dotted prefix on either side. That test is an equality of exploded suffixes,
     so two popular method names do not pair every caller with every edge.
     """
-    e = edges.where(F.upper("kind") == "CALLS").select(
-        F.col("id").alias("edge_id"), normalize_symbol("from_id").alias("_from"), normalize_symbol("to_id").alias("_to"))
-    p = pairs.select("caller", "callee", normalize_symbol("caller").alias("_c"), normalize_symbol("callee").alias("_d"))
+    e = CutTable(edges.where(F.upper("kind") == "CALLS").select(
+        F.col("id").alias("edge_id"), normalize_symbol("from_id").alias("_from"), normalize_symbol("to_id").alias("_to"))).df
+    p = CutTable(pairs.select("caller", "callee", normalize_symbol("caller").alias("_c"), normalize_symbol("callee").alias("_d"))).df
     one = F.when(F.col("matches") == 1, F.col("edge_id"))
     exact = p.join(e, (F.col("_c") == F.col("_from")) & (F.col("_d") == F.col("_to"))).groupBy("caller", "callee").agg(
         F.count(F.lit(1)).alias("matches"), F.min("edge_id").alias("edge_id")).withColumns({"edge_id": one, "how": F.lit("exact")})
-    rest = p.where("_c <> '' AND _d <> ''").join(exact.select("caller", "callee"), ["caller", "callee"], "left_anti")
-
-    def keyed(df, left, right, keep):
-        """Every (which side is shortened, key, key) form of one name pair."""
-        def form(mode, a, b):
-            return df.select(*keep, F.lit(mode).alias("_mode"), a.alias("_a"), b.alias("_b"))
-        full_a, full_b = F.array(left), F.array(right)
-        cut_a, cut_b = _dotted_suffixes(F.col(left)), _dotted_suffixes(F.col(right))
-        forms = [form(m, a, b) for m, a, b in (
-            ("ff", full_a, full_b), ("fs", full_a, cut_b), ("sf", cut_a, full_b), ("ss", cut_a, cut_b))]
-        out = forms[0]
-        for f in forms[1:]:
-            out = out.unionByName(f)
-        return out.select(*keep, "_mode", F.explode("_a").alias("_a"), "_b").select(*keep, "_mode", "_a", F.explode("_b").alias("_b"))
+    exact = CutTable(exact).df
+    rest = CutTable(p.where("_c <> '' AND _d <> ''").join(exact.select("caller", "callee"), ["caller", "callee"], "left_anti")).df
+
+    def keyed(df, left, right, keep, whole_first):
+        """Every form of a name pair as (which sides are shortened, key, key), one explode per row."""
+        form = lambda mode, a, b: F.struct(F.lit(mode).alias("mode"), a.alias("a"), b.alias("b"))
+        a, b = F.col(left), F.col(right)
+        modes = ("ff", "fs", "sf", "ss") if whole_first else ("ss", "sf", "fs", "ff")
+        forms = F.concat(
+            F.array(form(modes[0], a, b)), F.transform(_dotted_suffixes(b), lambda y: form(modes[1], a, y)),
+            F.transform(_dotted_suffixes(a), lambda x: form(modes[2], x, b)),
+            F.flatten(F.transform(_dotted_suffixes(a), lambda x: F.transform(_dotted_suffixes(b), lambda y: form(modes[3], x, y)))))
+        return df.select(*keep, F.explode(forms).alias("_f")).select(*keep, "_f.*")
 
     tail = lambda c: F.element_at(F.split(c, r"\."), -1)
     ends = rest.select(tail("_c").alias("_x"), tail("_d").alias("_y")).distinct()
     near = e.withColumns({"_x": tail("_from"), "_y": tail("_to")}).join(ends, ["_x", "_y"], "left_semi")
-    other = {"ff": "ss", "fs": "sf", "sf": "fs", "ss": "ff"}
-    calls_side = keyed(rest, "_c", "_d", ["caller", "callee"])
-    edge_side = keyed(near, "_from", "_to", ["edge_id"]).replace(other, subset=["_mode"])
-    suffix = calls_side.join(edge_side, ["_mode", "_a", "_b"]).select("caller", "callee", "edge_id").distinct().groupBy("caller", "callee").agg(
+    # A side that is whole in the call is shortened in the edge, and the other way round.
+    suffix = keyed(rest, "_c", "_d", ["caller", "callee"], True).join(keyed(near, "_from", "_to", ["edge_id"], False), ["mode", "a", "b"])
+    suffix = suffix.select("caller", "callee", "edge_id").distinct().groupBy("caller", "callee").agg(
         F.count(F.lit(1)).alias("matches"), F.min("edge_id").alias("edge_id")).withColumns({"edge_id": one, "how": F.lit("suffix")})
-    return exact.unionByName(suffix)
+    return CutTable(exact.unionByName(suffix)).df
 
 
 def match_calls(calls: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """Matched (edge, test) rows, unmatched calls, and diagnostics of ambiguous pairs."""
+    calls = CutTable(calls).df
     found = match_pairs(calls.select("caller", "callee").distinct(), edges)
     joined = calls.join(found.where("edge_id IS NOT NULL").select("caller", "callee", "edge_id"), ["caller", "callee"], "left")
     best = F.struct("confidence", "caller_file", "caller_line", "callee_file", "callee_line")
