@@ -1,9 +1,19 @@
 """Source corpora as tables of (repo, path, content)."""
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor.plans.loops import CutTable
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Folders that are never scanned.
 EXCLUDED_DIRS = ("__pycache__", "venv", ".venv", "env", "node_modules", "dist", "build", "target", ".next", "coverage", ".git")
 
@@ -25,18 +35,55 @@ def keep_files(files: DataFrame, suffixes: list[str] = (), excluded=EXCLUDED_DIR
     return out.join(below, ["repo", "path"], "left_anti")
 
 
-def read_files(spark: SparkSession, root: str, glob: str = "*", suffixes: list[str] = ()) -> DataFrame:
+def _list_folders(root: str, excluded: tuple[str, ...]):
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        for pdf in frames:
+            rows = []
+            for folder in pdf["path"]:
+                entries = fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                if "/" in folder and any(e.base_name == ".git" for e in entries):
+                    continue  # another repository inside this one
+                for e in entries:
+                    is_dir = e.type == pyarrow.fs.FileType.Directory
+                    if not (is_dir and e.base_name in excluded):
+                        rows.append((f"{folder}/{e.base_name}".lstrip("/"), is_dir))
+            yield pd.DataFrame(rows, columns=["path", "is_dir"])
+    return listed
+
+
+def _read_texts(root: str):
+    def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        for pdf in frames:
+            for path in pdf["path"]:  # one file at a time: a batch of large files must not pile up in memory
+                with fs.open_input_stream(f"{base}/{path}") as f:
+                    text = f.readall().decode("utf-8", "replace")
+                repo, _, rel = path.partition("/")
+                yield pd.DataFrame([(repo, rel, text)], columns=["repo", "path", "content"])
+    return texts
+
+
+def read_files(spark: SparkSession, root: str, suffixes: list[str] = (), excluded=EXCLUDED_DIRS, max_depth: int = 64) -> DataFrame:
     """Read a folder of repositories (one folder each) as (repo, path, content), one row per file.
 
-    The listing is recursive and distributed; excluded folders are dropped before content is decoded.
+    Folders are listed level by level, each level as one distributed job, so excluded folders and
+    nested repositories are never entered. Spark's own file listing is not used because it hides
+    names that begin with ``_`` or ``.``, and with them every ``__init__.py``.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    inner = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "")
-    rel = F.substr(inner, F.lit(len(base) + 2))
-    named = raw.select(F.substring_index(rel, "/", 1).alias("repo"), F.regexp_replace(rel, "^[^/]*/", "").alias("path"),
-                       F.decode("content", "UTF-8").alias("content"))
-    return keep_files(named, suffixes)
+    uri = root if "://" in root else f"file://{root}"
+    folders = spark.createDataFrame([("",)], "path string")
+    found = None
+    for _ in range(max_depth):
+        level = CutTable(folders.mapInPandas(_list_folders(uri, tuple(excluded)), "path string, is_dir boolean")).df
+        files = level.where("NOT is_dir AND contains(path, '/')").select("path")
+        found = files if found is None else found.unionByName(files)
+        folders = level.where("is_dir").select("path").repartition("path")
+        if folders.isEmpty():
+            break
+    if suffixes:
+        found = found.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*[s.lower() for s in suffixes]))
+    return found.repartition("path").mapInPandas(_read_texts(uri), "repo string, path string, content string")
 
 
 def scan_plan(files: DataFrame, excluded=EXCLUDED_DIRS) -> tuple[DataFrame, DataFrame]:

@@ -112,13 +112,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input comes in fewer pieces than there are; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, NODES)
 
 
 def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge observations, one row per (edge, evidence item), warnings as an array."""
-    flat = run(spark, sf_dir, EDGE_ROWS)
+    flat = spread(run(spark, sf_dir, EDGE_ROWS))
     return flat.withColumn("warnings", F.when(F.col("warning").isNotNull(), F.array("warning"))).drop("warning")
 
 
