@@ -45,7 +45,7 @@ SELECT concat('order:', o_orderkey), CASE WHEN o_orderpriority = '1-URGENT' THEN
 EDGE_ROWS = """
 SELECT concat(from_id, '__', kind, '__', to_id) AS id, kind, from_id, to_id, source, confidence, rule_id,
        status, warning, ev_text, ev_file, ev_line,
-       concat(lpad(CAST(seq AS STRING), 20, '0'), '|', lpad(CAST(seq2 AS STRING), 12, '0'), '|', source) AS ord, shipped FROM (
+       concat(lpad(CAST(seq AS STRING), 20, '0'), '|', lpad(CAST(seq2 AS STRING), 12, '0'), '|', source, '|', rule_id) AS ord, shipped FROM (
   SELECT concat('nation:', n_nationkey) AS from_id, concat('region:', n_regionkey) AS to_id, 'CONTAINS' AS kind,
          'EXTRACTED' AS source, CAST(1.0 AS DOUBLE) AS confidence, '' AS rule_id, CAST(NULL AS STRING) AS status,
          CAST(NULL AS STRING) AS warning, 'declared in nation' AS ev_text,
