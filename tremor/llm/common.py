@@ -21,8 +21,6 @@ def fold(key: str, folds: int) -> Column:
 def n_words(text: str) -> Column:
     """Number of maximal runs of characters other than the six ASCII white-space characters; null counts 0.
 
-    Counts the places where a word begins, so the text is never split into an array.
+    Runs are counted, so the text is never split into an array.
     """
-    spaced = F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\v\f\r", "     ")
-    return F.coalesce(F.regexp_count(spaced, F.lit("[^ ]+")), F.lit(0)).cast("long")
-
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
