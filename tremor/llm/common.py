@@ -1,6 +1,8 @@
 """Shared pieces of the operators: table access, deterministic fold columns, bounded text slices."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +26,16 @@ def n_words(text: str) -> Column:
     Runs are counted, so the text is never split into an array.
     """
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
+
+
+def slices(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts hold about ``limit`` characters together (one row at least)."""
+    first, held = 0, 0
+    for k, text in enumerate(texts):
+        size = len(text or "")
+        if held and held + size > limit:
+            yield first, k
+            first, held = k, 0
+        held += size
+    if first < len(texts):
+        yield first, len(texts)
