@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremor.llm import decontaminate, mixing, rule_ensemble, simhash, string_kernel, token_planes
+from tremor.llm import decontaminate, gear_chunks, mixing, rule_ensemble, simhash, string_kernel, token_planes, winnow
 from tremor.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,16 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines")
+
+
+ORACLES["op4_winnow"] = winnow.ORACLE
+
+
+@query
+def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gear_chunks.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "first_doc_id")
