@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremor.llm import decontaminate, gear_chunks, mixing, rule_ensemble, simhash, string_kernel, token_planes, winnow
+from tremor.llm import decontaminate, gear_chunks, licenses, mixing, projection_forest, rule_ensemble, simhash, string_kernel, token_planes, winnow
 from tremor.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,16 @@ ORACLES["op4_winnow"] = winnow.ORACLE
 @query
 def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gear_chunks.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "first_doc_id")
+
+
+@query
+def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_licenses"] = licenses.oracle()
