@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``frame`` has such a column."""
+    while name.lower() in {c.lower() for c in frame.columns}:
+        name = "_" + name
+    return name
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; -1 for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(-1))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import slices
+from tremor.llm.common import slices, unused
 from tremor.plans.loops import CutTable
 
 K1, B = 1.2, 0.75
@@ -249,8 +249,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns."""
-    hit = contaminated(docs, items, **options).select(F.col("doc_id").alias("_hit_id"), F.col("row_hash").alias("_hit_hash")).distinct()
+    own, key, digest = (unused(docs, c) for c in ("_own_hash", "_hit_id", "_hit_hash"))
+    hit = contaminated(docs, items, **options).select(F.col("doc_id").alias(key), F.col("row_hash").alias(digest)).distinct()
     hit = CutTable(hit).df  # few rows: Spark may broadcast them by their size
-    marked = docs.withColumn("_own_hash", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_hit_id")) & (F.col("_own_hash") == F.col("_hit_hash"))
-    return marked.join(hit, same, "left_anti").drop("_own_hash")
+    marked = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest))
+    return marked.join(hit, same, "left_anti").drop(own)

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.llm.common import unused
 from tremor.plans.loops import CutTable
 
 #: Mean bytes between cuts, least bytes of a chunk, and bytes after which a cut is made where the text has none.
@@ -106,9 +107,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the ranges taken out of their texts; all rows and columns stay."""
-    cut = spans.groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
-    marked = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
-    both = marked.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    own, key, digest, ranges = (unused(docs, c) for c in ("_own_hash", "_cut_id", "_cut_hash", "_cut_ranges"))
+    cut = spans.groupBy(F.col("doc_id").alias(key), F.col("row_hash").alias(digest)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(ranges))
+    marked = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    both = marked.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest)), "left")
 
     @F.pandas_udf("string")
     def taken_out(text, spans_):
@@ -123,5 +125,5 @@ def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
             out.append(t)
         return type(text)(out)
 
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(taken_out("text", "_cut"))
+    text = F.when(F.col(ranges).isNull(), F.col("text")).otherwise(taken_out("text", ranges))
     return both.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -123,13 +123,13 @@ def mix(docs: DataFrame, carry: Sequence[str], weights: Sequence[float] = (1, 2,
 
     def one_source(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["size"] > 0].sort_values("size")
+        out = rows[["skey", "size"]].assign(passes=0, extra=0)
         if rows.empty:
-            return pd.DataFrame({"skey": [], "size": [], "passes": [], "extra": []})
+            return out
         total, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
         passes = min(int(target // total), max_repeats)
         budget = 0 if passes == max_repeats else round(target - passes * total)
-        extra = fit(rows["size"].tolist(), rows["n"].tolist(), budget)
-        return pd.DataFrame({"skey": rows["skey"], "size": rows["size"], "passes": passes, "extra": extra})
+        return out.assign(passes=passes, extra=fit(rows["size"].tolist(), rows["n"].tolist(), budget))
 
     chosen = histogram.join(goal, "skey").groupBy("skey").applyInPandas(one_source, "skey string, size long, passes int, extra long")
     # a group's documents are dealt to about sqrt(n) buckets by hash; whole buckets are taken in order, one is split

@@ -102,7 +102,7 @@ def _clean(vectors: DataFrame) -> DataFrame:
         F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("vector"))
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, *, trees: int = 8, leaf_rows: int = 512, share: float = 1.0, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, *, trees: int = 8, leaf_rows: int = 512, share: float = 1.2, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row for which ``is_query`` holds.
 
     ``share`` is the number of rows to open, over all trees, in parts of the table's points; a query opens more if
@@ -168,7 +168,8 @@ def _search_one(clean: DataFrame, k: int, trees: int, leaf_rows: int, share: flo
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "point": [], "d": [], "ids": []})
+            none = np.zeros(0, np.int64)
+            return pd.DataFrame({"query": none, "point": none, "d": none.astype(float), "ids": none.astype(object)})
         q, x = np.stack(left["vector"].to_list()), np.stack(right["vector"].to_list())
         norm = (x * x).sum(axis=1)
         near: tuple[list, list] = ([], [])

@@ -18,6 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremor.llm.common import unused
 from tremor.plans.loops import CutTable
 
 #: Labelled rows a model is fitted on, at most (a hash of the key picks them), and the share that counts as label 1.
@@ -50,7 +51,7 @@ def text_stats(text: str | None) -> list[float]:
 
 def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
     """The ``keep`` columns and one column for each statistic, named ``s_<statistic>``."""
-    slim = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    slim = docs.select(*keep, F.col("text").cast("string").alias(unused(docs, "_text")))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,6 +130,8 @@ def train(stats: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc
     made = VectorAssembler(inputCols=[f"s_{s}" for s in STATS], outputCol="_features").transform(rows)
     forest = RandomForestClassifier(labelCol="_label", featuresCol="_features", numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(made)
     rules = _paths(forest)
+    if not rules:  # no statistic tells the labels apart
+        return Ensemble(float(np.log(ones / (n - ones))), ())
     held = rows.select("_label", *[r.column().cast("double").alias(f"r{k}") for k, r in enumerate(rules)])
     ready = CutTable(VectorAssembler(inputCols=[f"r{k}" for k in range(len(rules))], outputCol="_rules").transform(held).select("_label", "_rules")).df
     fitted = LogisticRegression(labelCol="_label", featuresCol="_rules", elasticNetParam=1.0, regParam=lasso, maxIter=60).fit(ready)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import LOWER_ASCII
+from tremor.llm.common import LOWER_ASCII, unused
 from tremor.operators.graph import components
 from tremor.plans.loops import CutTable
 
@@ -92,7 +92,7 @@ def _signed(x: int) -> int:
 def _group_bits(sample: np.ndarray, parts: int) -> list[tuple[int, ...]]:
     """Bits in ``parts`` groups of nearly equal size; each group grows by the free bit that correlates most with it."""
     bits = np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
-    bits -= bits.mean(axis=0)
+    bits -= bits.mean(axis=0) if len(bits) else 0.0
     norm = np.sqrt((bits ** 2).sum(axis=0))
     corr = np.abs(bits.T @ bits) / np.maximum(np.outer(norm, norm), 1e-12)
     np.fill_diagonal(corr, 0)
@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
 def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    keepers = group(docs, words, distance).select(F.col("component_id").alias("_keep_id"), F.col("keeper_hash").alias("_keep_hash")).distinct()
-    marked = docs.withColumn("_own_hash", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_own_hash") == F.col("_keep_hash"))
-    return marked.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "_own_hash"]).drop("_own_hash")
+    own, key, digest = (unused(docs, c) for c in ("_own_hash", "_keep_id", "_keep_hash"))
+    keepers = group(docs, words, distance).select(F.col("component_id").alias(key), F.col("keeper_hash").alias(digest)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest))
+    return marked.join(keepers, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)

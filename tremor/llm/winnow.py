@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremor.llm.common import unused
 from tremor.plans.loops import CutTable
 
 WINDOW = 3
@@ -53,18 +54,19 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     then by hash of the text) or above in the same one. Empty lines are no part of a run and stay. Rows equal in
     ``doc_id`` and text are one document. Null texts stay null with 0 lines; an empty text has one empty line.
     """
-    removed = repeated_lines(docs, window).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("lines").alias("_gone"))
-    marked = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
-    both = marked.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    own, key, digest, out = (unused(docs, c) for c in ("_own_hash", "_gone_id", "_gone_hash", "_gone_lines"))
+    removed = repeated_lines(docs, window).select(F.col("doc_id").alias(key), F.col("row_hash").alias(digest), F.col("lines").alias(out))
+    marked = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    both = marked.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest)), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     numbers = F.sequence(F.lit(0), F.size(lines) - 1)
     filled = F.filter(numbers, lambda i: F.get(lines, i) != "")  # line number of each non-empty line
-    gone = F.transform(F.col("_gone"), lambda k: F.get(filled, k))
+    gone = F.transform(F.col(out), lambda k: F.get(filled, k))
     kept = F.transform(F.array_except(numbers, gone), lambda i: F.get(lines, i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col(out).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return both.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
                        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-                       F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_lines"))
+                       F.coalesce(F.size(out), F.lit(0)).cast("long").alias("removed_lines"))
 
 
 ORACLE = """
