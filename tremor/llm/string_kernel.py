@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremor.llm.common import unused
+
 UNKNOWN = "und"
 #: Text is read in pieces of this many bytes, so that the work space stays bounded; n-grams run across the pieces.
 PIECE = 1 << 20
@@ -28,7 +30,7 @@ PIECE = 1 << 20
 class Spectrum:
     """The n-gram lengths of the kernel and the number of cells they are hashed into."""
 
-    lengths: tuple[int, ...] = (1, 2, 3, 4)
+    lengths: tuple[int, ...] = (1, 2, 3, 4)  # of at most 4 bytes
     bits: int = 18
 
     def cells(self, text: str) -> np.ndarray:
@@ -66,9 +68,12 @@ def _has_letter(text: str) -> Column:
     return F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")
 
 
-def _kernel(a: list[np.ndarray], landmarks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Presence kernel of texts with landmarks given as a (cells, landmarks) matrix."""
-    return np.stack([landmarks[c].sum(axis=0, dtype=np.float64) / np.sqrt(max(len(c), 1) * sizes) for c in a])
+def _kernel(cells: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Presence kernel of one text with the landmarks, given as rows of bits by cell."""
+    both = np.zeros(len(sizes))
+    for k in range(0, len(cells), 4096):
+        both += np.unpackbits(landmarks[cells[k:k + 4096]], axis=1, count=len(sizes)).sum(axis=0, dtype=np.int64)
+    return both / np.sqrt(max(len(cells), 1) * sizes)
 
 
 def train(docs: DataFrame, learn: Column, *, spectrum: Spectrum | None = None, landmarks: int = 256, sample: int = 2048,
@@ -106,22 +111,21 @@ def train(docs: DataFrame, learn: Column, *, spectrum: Spectrum | None = None, l
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cells, pa.list_(pa.int32()))], names=["lang", "key", "v"])
 
     marked = ranked(picked(marks), marks, cells_of, "lang string, key bigint, v array<int>")
-    presence = np.zeros((1 << spectrum.bits, len(marked)), np.float32)
+    bits = np.zeros((1 << spectrum.bits, (len(marked) + 7) // 8), np.uint8)
     for k, (_, cells) in enumerate(marked):
-        presence[np.asarray(cells, np.int64), k] = 1
-    sizes = presence.sum(axis=0, dtype=np.float64)
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(presence.astype(bool), axis=1))
+        bits[np.asarray(cells, np.int64), k // 8] |= np.uint8(128 >> k % 8)
+    sizes = np.array([len(cells) for _, cells in marked], np.float64)
+    packed = docs.sparkSession.sparkContext.broadcast(bits)
 
     def kernel_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks_ = np.unpackbits(packed.value, axis=1, count=len(sizes)).astype(np.float32)
         for b in batches:
-            k = [_kernel([spectrum.cells(t)], marks_, sizes)[0] for t in b.column(1).to_pylist()]
+            k = [_kernel(spectrum.cells(t), packed.value, sizes) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k, pa.list_(pa.float64()))], names=["lang", "key", "v"])
 
     fitted = ranked(picked(each), each, kernel_of, "lang string, key bigint, v array<double>")
     packed.unpersist()
     k_nl = np.array([v for _, v in fitted])
-    k_ll = (presence.T @ presence).astype(np.float64) / np.sqrt(np.outer(sizes, sizes))
+    k_ll = np.array([_kernel(np.asarray(cells, np.int64), bits, sizes) for _, cells in marked])
     value, vector = np.linalg.eigh(k_ll)
     kept = value > 1e-8 * value.max()
     half = vector[:, kept] / np.sqrt(value[kept])  # K_LL^(-1/2) on its range
@@ -129,19 +133,22 @@ def train(docs: DataFrame, learn: Column, *, spectrum: Spectrum | None = None, l
     target = np.array([[float(lang == n) for n in names] for lang, _ in fitted])
     weight = np.array([1.0 / sum(lang == x for x, _ in fitted) for lang, _ in fitted])[:, None]  # languages count alike
     beta = np.linalg.solve(phi.T @ (phi * weight) + ridge * np.eye(phi.shape[1]), phi.T @ (target * weight))
-    dual = half @ beta
-    return Model(spectrum, names, (presence @ (dual / np.sqrt(sizes)[:, None])).astype(np.float32))
+    dual = half @ beta / np.sqrt(sizes)[:, None]
+    weights = np.zeros((1 << spectrum.bits, len(names)), np.float32)
+    for (_, cells), w in zip(marked, dual):
+        weights[np.asarray(cells, np.int64)] += w.astype(np.float32)
+    return Model(spectrum, names, weights)
 
 
-def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """The ``keep`` columns of every row with ``lang_pred`` and ``score``.
+def predict(docs: DataFrame, model: Model | None, *keep: str, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``keep`` columns of every row with ``lang_pred`` and ``score`` (or the names in ``out``).
 
     The score is the winner's share of the positive ridge outputs. Null texts, texts without a letter, and all texts
     if there is no model give ``und`` with score 0. The text alone decides; ties go to the first language by name.
     """
-    schema = f"{docs.select(*keep).schema.simpleString()[7:-1]}," if keep else ""
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) if keep else ""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    work = docs.select(*keep, F.when(_has_letter("text"), F.col("text").cast("string")).alias("_text"))
+    work = docs.select(*keep, F.when(_has_letter("text"), F.col("text").cast("string")).alias(unused(docs, "_text")))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -151,12 +158,12 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
             rows = [k for k, t in enumerate(texts) if t] if m else []
             for a in range(0, len(rows), 64):
                 some = rows[a:a + 64]
-                out = m.scores([m.spectrum.cells(texts[k]) for k in some]).astype(np.float64)
-                up = np.maximum(out, 0) + 1e-12
+                ridge = m.scores([m.spectrum.cells(texts[k]) for k in some]).astype(np.float64)
+                up = np.maximum(ridge, 0) + 1e-12
                 share, best = up / up.sum(axis=1, keepdims=True), up.argmax(axis=1)
                 for r, k in enumerate(some):
                     label[k], value[k] = m.languages[best[r]], float(share[r, best[r]])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(label, pa.string()), pa.array(value, pa.float64())],
-                                             names=[*b.schema.names[:-1], "lang_pred", "score"])
+                                             names=[*b.schema.names[:-1], *out])
 
-    return work.mapInArrow(score, f"{schema}lang_pred string,score double")
+    return work.mapInArrow(score, f"{schema}`{out[0]}` string, `{out[1]}` double")
