@@ -1,4 +1,5 @@
 """Hand-made cases and random inputs checked against plain Python."""
+import os
 import random
 from collections import deque
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions import paths as PA
 from tremor.functions.textjoin import contains_join
-from tremor.operators import delta, evaluate, extract, graph, hygiene, impact, quality, review, routes, runs, symbols
+from tremor.operators import delta, evaluate, extract, graph, hygiene, impact, quality, review, routes, rules, runs, symbols
 from tremor.plans.loops import global_index
 from tremor.sources import corpus, graphs
 from tremor.streaming import feeds
@@ -294,13 +295,51 @@ def test_refresh_keeps_other_files(spark):
 
 
 def test_file_stream_emits_changes_only(spark, tmp_path):
-    schema = "path string, sha256 string, seq long"
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for day, rows in enumerate([[("a", "1", 1), ("b", "1", 2)], [("a", "1", 3), ("b", "2", 4)]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        stream = feeds.stream_file_changes(spark.readStream.schema(schema).parquet(src))
-        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out).awaitTermination()
-    assert sorted((r["path"], r["seq"], r["change"]) for r in spark.read.parquet(out).collect()) == [("a", 1, "added"), ("b", 2, "added"), ("b", 4, "modified")]
+    """A busy path in random order over several batches, one state for a thousand rows each."""
+    rng = random.Random(4)
+    want = []
+    for batch in range(3):
+        rows = [("a", f"h{(batch * 5000 + k) // 1000}", batch * 5000 + k) for k in range(5000)] + [("b", "same", batch * 10 + 1)]
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, "path string, sha256 string, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        feeds.stream_file_changes(spark.readStream.schema("path string, sha256 string, seq long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
+    want = [("a", f"h{k}", k * 1000, "modified" if k else "added") for k in range(15)] + [("b", "same", 1, "added")]
+    assert sorted(tuple(r) for r in feeds.read_file_changes(spark, str(tmp_path / "out")).collect()) == sorted(want)
+
+
+def test_chains_are_followed_to_their_ends(spark):
+    """One job or more for each link, so the longest chains run with ``TREMOR_ALL`` only."""
+    frame, full = spark.createDataFrame, bool(os.environ.get("TREMOR_ALL"))
+    n = 15
+    defs = frame([(f"d{k}", "m", []) for k in range(n)], "def_id string, module string, params array<string>")
+    parts = frame([("d0", 0, "literal", "/x", None, None)] + [(f"d{k}", 0, "ref", None, f"d{k - 1}", None) for k in range(1, n)],
+                  "def_id string, pos int, kind string, text string, target string, args array<string>")
+    assert {r["value"] for r in routes.evaluate_paths(defs, parts).collect()} == {"/x"} and routes.evaluate_paths(defs, parts).count() == n
+    n = 40 if full else 12
+    tables = {"methods": frame([(f"c{n}.run",)], "full string"), "bases": frame([(f"c{k}", 0, f"c{k + 1}") for k in range(n)], "full string, pos int, base string")}
+    assert symbols.resolve_method(frame([("c0", "run")], "class_full string, method string"), tables).first()["full"] == f"c{n}.run"
+    n = 70 if full else 12
+    exports = frame([("", f"n{k}", f"n{k + 1}") for k in range(n)], "module string, name string, target string")
+    got = symbols.reexport_chains(frame([("n0",)], "target string"), exports).first()
+    assert (got["resolved"], got["ambiguous"]) == (f"n{n}", False)
+    n = 50 if full else 12
+    routers = frame([(f"r{k}", f"/p{k}") for k in range(n)], "router string, prefix string")
+    includes = frame([(f"r{k}", f"r{k + 1}", "") for k in range(n - 1)], "parent string, child string, prefix string")
+    last = {r["router"]: r["prefix"] for r in routes.compose_prefixes(routers, includes).collect()}[f"r{n - 1}"]
+    assert last == "".join(f"/p{k}" for k in range(n))
+    edges = frame([(f"v{k:03}", f"v{k + 1:03}") for k in range(150 if full else 65)], "from_id string, to_id string")
+    assert {r["component"] for r in graph.components(edges).collect()} == {"v000"}
+
+
+def test_rules_without_matching_types_give_no_edge(spark):
+    nodes = spark.createDataFrame([("class:a.TestB", "CLASS", "TestB", "a", None, None, None, None)],
+                                  "id string, kind string, name string, scope string, call_name string, receiver string, receiver_type string, method_name string")
+    fields = ["library", "rule_id", "rule_type", "trust_level", "emit_to", "emit_kind", "match_imported_library", "match_test_class_name",
+              *[f"match_{f}" for f in rules.STANDARD_FIELDS]]
+    none = spark.createDataFrame([], ", ".join(f"{f} string" for f in fields) + ", emit_confidence double")
+    imports = spark.createDataFrame([], "module string, imported string")
+    assert rules.rule_standard(nodes, none, imports).count() == 0
+    assert rules.rule_test_target(nodes, none).count() == 0
 
 
 def test_role_of_header(spark):

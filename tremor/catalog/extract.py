@@ -98,8 +98,8 @@ def _stream(spark, sf, name):
 def s01(spark, sf):
     files = _stream(spark, sf, "documents").select(F.concat_ws("/", "source", "lang").alias("path"), F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("seq"))
     place = _place(spark)
-    S.stream_file_changes(files).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/out").awaitTermination()
-    return spark.read.schema(S._CHANGE).parquet(f"{place}/out")
+    S.stream_file_changes(files, place)
+    return S.read_file_changes(spark, place)
 
 
 @query("S02_stream_distinct_calls", """SELECT DISTINCT event_type AS caller, concat('u', user_id) AS callee, concat('t', user_id % 7) AS test_id FROM @events""")

@@ -275,17 +275,17 @@ def graph_fingerprint(frame: DataFrame, *cols: str, by: list[str] = ()) -> DataF
 
 # --- structure ---------------------------------------------------------------------------------
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Weakly connected components as (node_id, component = smallest member id).
 
     Alternating large-star and small-star rounds: each round is one per-node minimum and one
-    join, the edge count never grows, and a hub only ever contributes to a minimum.
+    join, the edge count never grows, and a hub only ever contributes to a minimum. Ends when a round changes nothing.
     """
     pairs = edges.select(F.greatest("from_id", "to_id").alias("u"), F.least("from_id", "to_id").alias("v"))
     members = pairs.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
     state = CutTable(pairs.where("u <> v").distinct())
     before = content_hash(state.df)
-    for _ in range(max_rounds):
+    while True:
         both = state.df.union(state.df.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

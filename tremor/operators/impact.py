@@ -1,6 +1,8 @@
 """Impact queries: bounded traversal for many questions at once, path scores and explanations."""
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,6 @@ from tremor.functions.textjoin import contains_join
 from tremor.operators.quality import active_edges, edge_quality
 from tremor.plans.loops import CutTable
 
-UNBOUNDED = 10_000
-
 
 # --- seeds -------------------------------------------------------------------------------------
 
@@ -102,7 +102,9 @@ def walk(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, targe
     levels = [CutTable(start)]
     frontier = levels[0].df
     visited = frontier
-    for depth in range(1, (UNBOUNDED if max_depth is None else max_depth) + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         f, s = frontier.alias("f"), steps.alias("s")
         bounded = F.least(F.greatest(F.col("s.confidence"), F.lit(0.0)), F.lit(1.0))
         arrow = F.col("s.arrow")

@@ -1,6 +1,8 @@
 """Routes and HTTP calls: composing, matching and bridging them."""
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def route_pairs(left: DataFrame, right: DataFrame, strict: bool = False) -> Data
 
 # --- composition -------------------------------------------------------------------------------
 
-def compose_prefixes(routers: DataFrame, includes: DataFrame, max_rounds: int = 40, keep_cycle: bool = True) -> DataFrame:
+def compose_prefixes(routers: DataFrame, includes: DataFrame, keep_cycle: bool = True) -> DataFrame:
     """(router, prefix): every full prefix of a router along its include edges, parents first.
 
     Walks from each router up to a root, one join per level; a router met twice ends the walk.
@@ -52,7 +54,7 @@ def compose_prefixes(routers: DataFrame, includes: DataFrame, max_rounds: int =
     known = local.select(F.col("router").alias("at"), "local")
     state = CutTable(local.select("router", F.col("router").alias("at"), F.lit("").alias("below"), F.array("router").alias("seen")))
     done = None
-    for _ in range(max_rounds):
+    while True:
         step = state.df.join(known, "at", "left").withColumn("local", F.coalesce("local", F.lit(""))).join(ups, "at", "left")
         step = CutTable(step)
         top = step.df.where("parent IS NULL").select("router", PA.join_paths(F.col("local"), F.col("below")).alias("prefix"))
@@ -304,7 +306,7 @@ def frontend_http_calls(resolved: DataFrame) -> DataFrame:
         "confidence", endpoint_status(F.col("confidence")).alias("status"))
 
 
-def evaluate_paths(definitions: DataFrame, parts: DataFrame, max_rounds: int = 12) -> DataFrame:
+def evaluate_paths(definitions: DataFrame, parts: DataFrame) -> DataFrame:
     """(def_id, value, confidence) of path constants and helpers, evaluated bottom-up.
 
     definitions: (def_id, module, params array<string>); parts: (def_id, pos, kind, text, target, args)
@@ -321,7 +323,7 @@ def evaluate_paths(definitions: DataFrame, parts: DataFrame, max_rounds: int = 1
         F.when(F.col("kind") == "literal", 0.95).otherwise(0.90).alias("conf"))
     uses = parts.where("kind IN ('ref', 'call')").join(meta, "target")
     waiting, known = definitions.select("def_id"), None
-    for _ in range(max_rounds):
+    while True:
         ready = plain
         if known is not None:
             filled = F.aggregate(F.arrays_zip("t_params", "args"), F.col("t_value"),
@@ -358,18 +360,20 @@ def expand_exports(imports: DataFrame, exports: DataFrame) -> DataFrame:
     return own.unionByName(via.join(own.select("module", "local"), ["module", "local"], "left_anti"))
 
 
-def propagate_endpoints(sinks: DataFrame, calls: DataFrame, params: DataFrame, max_depth: int = 12) -> DataFrame:
+def propagate_endpoints(sinks: DataFrame, calls: DataFrame, params: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(caller, endpoint, depth): endpoint arguments traced from sinks back through wrapper functions.
 
     sinks and calls: (caller, callee, pos, value, path) with ``path`` set when the argument is already a
-    path; params: (function, pos, name).
+    path; params: (function, pos, name). Wrappers are followed to any depth unless ``max_depth`` is given.
     """
     calls = CutTable(calls).df
     params = CutTable(params.select(F.col("function").alias("caller"), F.col("pos").alias("param_pos"), F.col("name").alias("value"))).df
     open_ = CutTable(sinks.where("path IS NULL").select("caller", "value").distinct())
     done = sinks.where("path IS NOT NULL").select("caller", F.col("path").alias("endpoint"), F.lit(0).alias("depth"))
     seen = open_.df
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         asked = open_.df.join(params, ["caller", "value"]).select(F.col("caller").alias("callee"), F.col("param_pos").alias("pos")).distinct()
         given = CutTable(calls.join(asked, ["callee", "pos"]))
         done = done.unionByName(given.df.where("path IS NOT NULL").select("caller", F.col("path").alias("endpoint"), F.lit(depth).alias("depth")))

@@ -122,11 +122,15 @@ def rule_framework_route(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rule_test_target(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Test classes to the class their name points at. Patterns are applied one rule at a time: they are few."""
-    patterns = [(r["library"], r["rule_id"], r["match_test_class_name"]) for r in rules.where("rule_type = 'test_target_pattern'").collect()]
-    classes = nodes.where("kind = 'CLASS'")
-    named = F.array_compact(F.array(*[F.when(F.col("name").rlike(f"^(?:{p})"), F.struct(F.lit(lib).alias("library"), F.lit(rid).alias("rule_id"))) for lib, rid, p in patterns]))
-    hits = classes.select("id", "name", F.explode(named).alias("m")).select("id", "name", "m.library", "m.rule_id").join(rules, ["library", "rule_id"])
+    """Test classes to the class their name points at.
+
+    The rules' patterns travel as one row that holds them all; a table of rules is small beside the nodes.
+    """
+    wanted = rules.where("rule_type = 'test_target_pattern'")
+    held = wanted.groupBy().agg(F.collect_list(F.struct("library", "rule_id", "match_test_class_name")).alias("_rules"))
+    classes = nodes.where("kind = 'CLASS'").select("id", "name").join(held)
+    fits = F.filter("_rules", lambda r: F.regexp_like(F.col("name"), F.concat(F.lit("^(?:"), r["match_test_class_name"], F.lit(")"))))
+    hits = classes.select("id", "name", F.explode(fits).alias("m")).select("id", "name", "m.library", "m.rule_id").join(rules, ["library", "rule_id"])
     target = F.coalesce("emit_to", F.replace(F.replace("name", F.lit("Test"), F.lit("")), F.lit("test_"), F.lit("")))
     known = nodes.select(F.explode(F.array("id", "name")).alias("_t"), F.col("id").alias("_tid")).groupBy("_t").agg(F.min("_tid").alias("_tid"))
     return _emit(hits.withColumn("_t", target).join(known, "_t"), F.col("id"), F.col("_tid"), "TESTS", "test_target_pattern")
@@ -139,14 +143,16 @@ def rule_standard(nodes: DataFrame, rules: DataFrame, imports: DataFrame) -> Dat
     """Rules whose given fields must all match. Rules that use the same fields share one equality join."""
     wanted = rules.where("rule_type = 'standard'").withColumn("_mask", F.concat(*[F.when(F.col(f"match_{f}").isNotNull(), "1").otherwise("0") for f in STANDARD_FIELDS]))
     masks = sorted(r[0] for r in wanted.select("_mask").distinct().collect())
-    out = None
-    for mask in masks:
+    if not masks:
+        none = {c: F.lit(None).cast(t) for c, t in (("id", "string"), ("scope", "string"))}
+        out = wanted.withColumns(none).select("id", "scope", "library", "rule_id", "trust_level", "emit_to", "emit_kind", "emit_confidence")
+    for k, mask in enumerate(masks):
         used = [f for f, bit in zip(STANDARD_FIELDS, mask) if bit == "1"]
         group = wanted.where(F.col("_mask") == mask).drop(*[f"match_{f}" for f in STANDARD_FIELDS if f not in used]).withColumnsRenamed({f"match_{f}": f for f in used})
         if not used:
             raise ValueError("a standard rule needs at least one match field")
         hits = _imports_library(nodes.join(group, used), imports, exact=True).select("id", "scope", "library", "rule_id", "trust_level", "emit_to", "emit_kind", "emit_confidence")
-        out = hits if out is None else out.unionByName(hits)
+        out = out.unionByName(hits) if k else hits
     done = out.select(_scope().alias("from_id"), F.col("emit_to").alias("to_id"), F.col("emit_kind").alias("kind"), F.lit("SUPPORT_PACK").alias("source"),
                       F.coalesce("emit_confidence", F.lit(0.8)).alias("confidence"), "library", "rule_id", "trust_level", F.lit("standard").alias("resolver_hook"))
     return done.dropDuplicates(["library", "rule_id", "from_id", "to_id", "kind"])

@@ -1,14 +1,14 @@
 """Names to symbols as keyed joins: modules, classes, functions, members, inherited methods, aliases."""
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions import columns as X
 from tremor.plans.loops import CutTable
 
-MAX_REEXPORTS = 5
-MAX_BASES = 32
 
 
 def _prefixes(name: Column) -> Column:
@@ -90,24 +90,32 @@ def resolve_class(refs: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return by_name.unionByName(own).unionByName(far).groupBy("module", "name").agg(F.min_by("full", F.struct("rank", "full")).alias("full"))
 
 
-def resolve_function(refs: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """(module, parent, name, full): enclosing scope, own module, alias through up to five re-exports, or the only
-    imported module that defines it."""
+def resolve_function(refs: DataFrame, t: dict[str, DataFrame], max_reexports: int | None = None) -> DataFrame:
+    """(module, parent, name, full): enclosing scope, own module, alias through re-exports, or the only imported
+    module that defines it. Chains of aliases are followed to their ends unless ``max_reexports`` is given."""
     r = refs.select("module", "parent", "name").distinct()
     known = t["functions"].select("full")
     local = lambda rank, prefix: r.select("module", "parent", "name", F.lit(rank).alias("rank"), F.concat_ws(".", prefix, "name").alias("full")).join(known, "full", "left_semi")
     out = local(0, "parent").unionByName(local(1, "module"))
     chain = r.select("module", "name").distinct().join(t["aliases"].withColumnRenamed("alias", "name"), ["module", "name"]).select("module", "name", "target")
     step = t["aliases"].select(F.concat_ws(".", "module", "alias").alias("target"), F.col("target").alias("_next"))
-    for hop in range(MAX_REEXPORTS):
+    seen = None
+    for hop in count():
+        if hop == max_reexports:
+            break
+        table = CutTable(chain.distinct())
+        chain = table.df
+        if table.is_empty():
+            break
+        seen = chain if seen is None else seen.unionByName(chain)
         hit = chain.join(known.withColumnRenamed("full", "target"), "target", "left_semi")
         out = out.unionByName(r.join(hit.select("module", "name", F.col("target").alias("full"), F.lit(2 + hop).alias("rank")), ["module", "name"]).select(
             "module", "parent", "name", "rank", "full"))
-        if hop + 1 < MAX_REEXPORTS:
-            chain = chain.join(step, "target").select("module", "name", F.col("_next").alias("target"))
+        # a target met before is on a cycle
+        chain = chain.join(step, "target").select("module", "name", F.col("_next").alias("target")).join(seen, ["module", "name", "target"], "left_anti")
     far = r.select("module", "name").distinct().join(t["imports"], "module").select("module", "name", F.concat_ws(".", "imported", "name").alias("full")).join(known, "full", "left_semi")
     only = far.groupBy("module", "name").agg(F.min("full").alias("full"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    out = out.unionByName(r.join(only.drop("n"), ["module", "name"]).select("module", "parent", "name", F.lit(9).alias("rank"), "full"))
+    out = out.unionByName(r.join(only.drop("n"), ["module", "name"]).select("module", "parent", "name", F.lit(1 << 30).alias("rank"), "full"))
     return out.groupBy("module", "parent", "name").agg(F.min_by("full", "rank").alias("full"))
 
 
@@ -118,13 +126,13 @@ def resolve_member(refs: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return out.join(t["methods"], "full", "left_semi")
 
 
-def resolve_method(refs: DataFrame, t: dict[str, DataFrame], max_rounds: int = MAX_BASES) -> DataFrame:
+def resolve_method(refs: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     """(class_full, method, full): the method of a class or of its nearest base, breadth first in base order."""
     methods, bases = t["methods"], CutTable(t["bases"]).df
     state = CutTable(refs.select("class_full", "method").distinct().select(
         "class_full", "method", F.col("class_full").alias("at"), F.array().cast("array<int>").alias("path")))
     seen, found = state.df.select("class_full", "method", "at"), None
-    for _ in range(max_rounds):
+    while True:
         here = state.df.withColumn("full", F.concat_ws(".", "at", "method"))
         hit = CutTable(here.join(methods, "full", "left_semi").groupBy("class_full", "method").agg(F.min_by("full", "path").alias("full")))
         found = hit.df if found is None else found.unionByName(hit.df)
@@ -183,7 +191,7 @@ def test_routes(calls: DataFrame) -> DataFrame:
                       F.lit("TESTS").alias("kind"), F.lit(0.75).alias("confidence")).distinct()
 
 
-def reexport_chains(targets: DataFrame, exports: DataFrame, max_rounds: int = 64) -> DataFrame:
+def reexport_chains(targets: DataFrame, exports: DataFrame) -> DataFrame:
     """(target, resolved, hops, ambiguous, confidence) through re-exports. exports: (module, name, target).
 
     A name exported to two places, or a cycle, stops the chain as ambiguous at .55.
@@ -201,7 +209,7 @@ def reexport_chains(targets: DataFrame, exports: DataFrame, max_rounds: int = 64
     done = done.unionByName(shape(opened.df.where("n > 1"), F.col("target"), F.lit(1), F.lit(True)))
     done = done.unionByName(shape(opened.df.where("n = 1 AND to = target"), F.col("target"), F.lit(1), F.lit(False)))
     state = CutTable(opened.df.where("n = 1 AND to <> target").select("target", F.col("to").alias("at"), F.array("target").alias("seen"), F.lit(1).alias("hops")))
-    for _ in range(max_rounds):
+    while True:
         step = CutTable(state.df.join(whole.withColumnRenamed("key", "at"), "at", "left").withColumn("cycle", F.array_contains("seen", F.col("at"))))
         s = step.df
         done = done.unionByName(shape(s.where("cycle"), F.col("at"), F.col("hops"), F.lit(True)))

@@ -64,7 +64,7 @@ def _read_texts(root: str):
     return texts
 
 
-def read_files(spark: SparkSession, root: str, suffixes: list[str] = (), excluded=EXCLUDED_DIRS, max_depth: int = 64) -> DataFrame:
+def read_files(spark: SparkSession, root: str, suffixes: list[str] = (), excluded=EXCLUDED_DIRS) -> DataFrame:
     """Read a folder of repositories (one folder each) as (repo, path, content), one row per file.
 
     Folders are listed level by level, each level as one distributed job, so excluded folders and
@@ -74,7 +74,7 @@ def read_files(spark: SparkSession, root: str, suffixes: list[str] = (), exclude
     uri = root if "://" in root else f"file://{root}"
     folders = spark.createDataFrame([("",)], "path string")
     found = None
-    for _ in range(max_depth):
+    while True:
         level = CutTable(folders.mapInPandas(_list_folders(uri, tuple(excluded)), "path string, is_dir boolean")).df
         files = level.where("NOT is_dir AND contains(path, '/')").select("path")
         found = files if found is None else found.unionByName(files)

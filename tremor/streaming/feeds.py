@@ -1,43 +1,60 @@
 """File-change and run-call feeds as Structured Streaming jobs over the batch operators."""
 from __future__ import annotations
 
-import sys
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tremor.operators.runs import CALL_KEY, match_calls
+from tremor.plans.loops import CutTable
 from tremor.session import shared_folder
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+CHANGE = "path string, sha256 string, seq long, change string"
 
-_CHANGE = "path string, sha256 string, seq long, change string"
 
+def file_changes(files: DataFrame, last: DataFrame) -> DataFrame:
+    """Rows of ``files`` whose hash differs from the path's row before, the first from ``last``.
 
-def _emit_changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    for pdf in batches:
-        pdf = pdf.sort_values("seq")
-        previous = pdf["sha256"].shift()
-        previous.iloc[0] = last
-        keep = pdf["sha256"] != previous
-        out = pdf[keep].assign(change=["added" if p is None or pd.isna(p) else "modified" for p in previous[keep]])
-        last = pdf["sha256"].iloc[-1]
-        yield out[["path", "sha256", "seq", "change"]]
-    state.update((last,))
+    files: (path, sha256, seq); last: (path, sha256), the state before them. Rows are dealt out by range of (path,
+    seq), so a busy path is spread over tasks; only one row for each range of a path meets the next range. Rows of one
+    path with equal ``seq`` are taken in order of their hash.
+    """
+    order = ["seq", "sha256"]
+    dealt = CutTable(files.select("path", "sha256", "seq").repartitionByRange("path", *order).withColumn("_part", F.spark_partition_id())).df
+    ends = dealt.groupBy("path", "_part").agg(F.max_by("sha256", F.struct(*order)).alias("end"))
+    before = Window.partitionBy("path").orderBy("_part")
+    known = last.select("path", F.col("sha256").alias("_last"))
+    opened = ends.withColumn("_before", F.lag("end").over(before)).join(known, "path", "left").select("path", "_part", F.coalesce("_before", "_last").alias("_open"))
+    own = F.lag("sha256").over(Window.partitionBy("path", "_part").orderBy(*order))
+    rows = dealt.withColumn("_own", own).join(opened, ["path", "_part"]).withColumn("_previous", F.coalesce("_own", "_open"))
+    return rows.where(~F.col("sha256").eqNullSafe(F.col("_previous"))).select(
+        "path", "sha256", "seq", F.when(F.col("_previous").isNull(), "added").otherwise("modified").alias("change"))
+
+
+def stream_file_changes(files: DataFrame, out: str, checkpoint: str | None = None) -> None:
+    """Store a file's row only when its hash differs from the last one seen. files: stream of (path, sha256, seq).
+
+    Each micro-batch writes its changes and the last hash of the paths it saw; a replayed batch overwrites its own
+    folders and reads only those of earlier ones. Batches must come in order of ``seq`` for each path; within one the
+    rows may come in any order.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = CutTable(batch.select("path", "sha256", "seq")).df
+        state = "path string, sha256 string, seq long, batch int"
+        stored = spark.read.schema(state).parquet(f"{out}/last").where(F.col("batch") < batch_id) if batch_id else spark.createDataFrame([], state)
+        last = stored.groupBy("path").agg(F.max_by("sha256", F.struct("batch", "seq", "sha256")).alias("sha256"))
+        file_changes(rows, last).write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
+        ends = rows.groupBy("path").agg(F.max(F.struct("seq", "sha256")).alias("e")).select("path", "e.sha256", "e.seq")
+        ends.write.mode("overwrite").parquet(f"{out}/last/batch={batch_id}")
 
+    _run_batches(files, handle, checkpoint)
 
-def stream_file_changes(files: DataFrame) -> DataFrame:
-    """Emit a file only when its hash differs from the last one seen. files: stream of (path, sha256, seq).
 
-    State is one hash per path.
-    """
-    return files.groupBy("path").applyInPandasWithState(_emit_changes, _CHANGE, "sha256 string", "append", GroupStateTimeout.NoTimeout)
+def read_file_changes(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(CHANGE).parquet(f"{out}/changes").drop("batch")
 
 
 def stream_distinct_calls(calls: DataFrame, delay: str = "10 minutes") -> DataFrame:
