@@ -79,6 +79,8 @@ PIECES = {
         SELECT *, lower(concat_ws(' ', warning, CASE WHEN NOT has_evidence THEN 'edge has no evidence' END)) AS wtext FROM edges))))""",
     "active": "SELECT * FROM graded WHERE quality IN ('confirmed', 'likely', 'weak')",
 }
+#: Pieces that many statements name more than once; computed once in each.
+SHARED = {"edges", "graded", "packed", "dangling", "checks"}
 NEEDS = {"edges_by_key": ["edge_rows"], "edges": ["edges_by_key"], "evidence": ["edge_rows"], "graded": ["edges"], "active": ["graded"]}
 
 
@@ -99,7 +101,8 @@ def using(*names: str) -> str:
             order.append(n)
     for n in names:
         visit(n)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({PIECES[n]})" for n in order) + "\n"
+    kept = lambda n: "MATERIALIZED " if n in SHARED else ""
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {kept(n)}({PIECES[n]})" for n in order) + "\n"
 
 
 def walk_sql(seeds: str, depth: int, direction: str = "both", active: str = "active", best_first: bool = False) -> str:

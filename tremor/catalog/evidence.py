@@ -35,10 +35,10 @@ define("regions", """SELECT *, CASE WHEN kind = 'suspicious_edge' THEN 'suspicio
    substr(sha256(concat_ws('|', kind, coalesce(file, 'None'), coalesce(scope, 'None'), coalesce(call_name, 'None'), coalesce(receiver, 'None'), coalesce(method, 'None'))), 1, 20) AS fingerprint FROM (
   SELECT 'unknown:unresolved_call:' || id AS region_id, id AS target_id, 'unresolved_call' AS kind, file, line, true AS has_evidence, call_name, receiver, method, scope,
     CASE WHEN receiver IS NOT NULL THEN 'unresolved_call_target' WHEN starts_with(call_name, 'HTTP ') OR contains(lower(call_name), 'route') THEN 'unresolved_route_prefix' ELSE 'unresolved_receiver' END AS taxonomy
-    FROM rnodes WHERE kind = 'CALL_EXPR' AND id NOT IN (SELECT call_id FROM packed) AND id NOT IN (SELECT from_id FROM redges)
-  UNION ALL SELECT 'unknown:isolated_symbol:' || id, id, 'isolated_symbol', file, line, true, NULL, NULL, NULL, NULL, NULL FROM rnodes WHERE kind = 'FUNCTION' AND id NOT IN (SELECT to_id FROM redges)
-  UNION ALL SELECT 'unknown:explicit_resolution_gap:' || id, id, 'explicit_resolution_gap', file, line, true, NULL, NULL, NULL, NULL, NULL FROM rnodes
-    WHERE lower(resolution_status) IN ('unresolved', 'ambiguous') AND id NOT IN (SELECT call_id FROM packed)
+    FROM rnodes n WHERE kind = 'CALL_EXPR' AND NOT EXISTS (SELECT 1 FROM packed WHERE call_id = n.id) AND NOT EXISTS (SELECT 1 FROM redges WHERE from_id = n.id)
+  UNION ALL SELECT 'unknown:isolated_symbol:' || id, id, 'isolated_symbol', file, line, true, NULL, NULL, NULL, NULL, NULL FROM rnodes n WHERE kind = 'FUNCTION' AND NOT EXISTS (SELECT 1 FROM redges WHERE to_id = n.id)
+  UNION ALL SELECT 'unknown:explicit_resolution_gap:' || id, id, 'explicit_resolution_gap', file, line, true, NULL, NULL, NULL, NULL, NULL FROM rnodes n
+    WHERE lower(resolution_status) IN ('unresolved', 'ambiguous') AND NOT EXISTS (SELECT 1 FROM packed WHERE call_id = n.id)
   UNION ALL SELECT 'unknown:suspicious_edge:' || id, id, 'suspicious_edge', ev_file, ev_line, true, NULL, NULL, NULL, NULL, NULL FROM redges WHERE status = 'suspicious' OR warning IS NOT NULL)""", ["packed"])
 define("rated", """SELECT *, CASE WHEN first = 'candidate' AND row_number() OVER (PARTITION BY first, kind, file, line, call_name, receiver, method ORDER BY (kind = 'suspicious_edge'), target_id) > 1 THEN 'duplicate' ELSE first END AS outcome,
    CASE WHEN kind = 'suspicious_edge' THEN 100 ELSE 60 END + CASE WHEN receiver IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN receiver LIKE 'self.%' THEN 15 ELSE 0 END + 10 AS score FROM (
@@ -311,10 +311,13 @@ CHECKS = """SELECT concat('a', l_orderkey, '-', l_partkey, '-', l_linenumber, '-
 UNKNOWN = "SELECT n_name AS name FROM @nation WHERE n_regionkey IN (1, 2)"
 define("checks", CHECKS)
 define("unknown_libs", UNKNOWN)
-define("checked", """SELECT c.*, CASE WHEN type LIKE '%\\_edge' ESCAPE '\\' THEN EXISTS (SELECT 1 FROM edges e WHERE e.from_id = c.from_id AND e.to_id = c.to_id AND e.kind = c.kind)
-     WHEN type LIKE '%node_contains' THEN check_id IN (SELECT check_id FROM checks k JOIN nodes n ON contains(n.id, k.needle) WHERE k.type LIKE '%node_contains')
-     WHEN type LIKE '%substring' THEN check_id IN (SELECT check_id FROM checks k JOIN (SELECT DISTINCT concat(kind, ' ', from_id, ' -> ', to_id) AS t FROM edges) ON contains(t, k.needle) WHERE k.type LIKE '%substring')
-     ELSE needle IN (SELECT name FROM unknown_libs) END AS found FROM checks c""", ["checks", "unknown_libs", "edges", "nodes"])
+define("hits", """SELECT k.check_id FROM checks k SEMI JOIN edges e ON e.from_id = k.from_id AND e.to_id = k.to_id AND e.kind = k.kind WHERE k.type LIKE '%\\_edge' ESCAPE '\\'
+   UNION SELECT w.check_id FROM (SELECT * FROM checks WHERE type LIKE '%node_contains') w JOIN (SELECT DISTINCT k.needle FROM (SELECT DISTINCT needle FROM checks WHERE type LIKE '%node_contains') k JOIN nodes n ON contains(n.id, k.needle)) h USING (needle)
+   UNION SELECT w.check_id FROM (SELECT * FROM checks WHERE type LIKE '%substring') w JOIN (SELECT DISTINCT k.needle FROM (SELECT DISTINCT needle FROM checks WHERE type LIKE '%substring') k
+     JOIN (SELECT DISTINCT concat(kind, ' ', from_id, ' -> ', to_id) AS t FROM edges) ON contains(t, k.needle)) h USING (needle)
+   UNION SELECT k.check_id FROM checks k SEMI JOIN unknown_libs u ON u.name = k.needle WHERE NOT (k.type LIKE '%\\_edge' ESCAPE '\\' OR k.type LIKE '%node_contains' OR k.type LIKE '%substring')""",
+   ["checks", "unknown_libs", "edges", "nodes"])
+define("checked", "SELECT c.*, h.check_id IS NOT NULL AS found FROM checks c LEFT JOIN hits h USING (check_id)", ["hits"])
 define("checked2", """SELECT *, CASE WHEN starts_with(type, 'known_gap_forbidden') THEN CASE WHEN found THEN 'known_gap' ELSE 'pass' END WHEN starts_with(type, 'known_gap') THEN CASE WHEN found THEN 'pass' ELSE 'known_gap' END
      WHEN starts_with(type, 'forbidden') THEN CASE WHEN found THEN 'fail' ELSE 'pass' END ELSE CASE WHEN found THEN 'pass' ELSE 'fail' END END AS check_status FROM checked""", ["checked"])
 

@@ -136,13 +136,14 @@ def d08(spark, sf):
     return G.node_aliases(P.run(spark, sf, ALIASED.format(rows=P.NODES)))
 
 
-define("dangling", """SELECT id AS edge_id, 0 AS position, from_id AS node_id FROM edges WHERE from_id NOT IN (SELECT id FROM nodes UNION SELECT name FROM nodes)
-  UNION ALL SELECT id, 1, to_id FROM edges WHERE to_id NOT IN (SELECT id FROM nodes UNION SELECT name FROM nodes)""", ["nodes", "edges"])
+define("known_ids", "SELECT id FROM nodes UNION SELECT name FROM nodes", ["nodes"])
+define("dangling", """SELECT id AS edge_id, 0 AS position, from_id AS node_id FROM edges ANTI JOIN known_ids k ON k.id = from_id
+  UNION ALL SELECT id, 1, to_id FROM edges ANTI JOIN known_ids k ON k.id = to_id""", ["known_ids", "edges"])
 
 
 @query("D09_graph_quality_report", using("dangling") + """SELECT (SELECT count(*) FROM nodes) AS node_count,
   (SELECT count(*) - count(DISTINCT id) FROM nodes) AS duplicate_node_id_count,
-  (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT from_id FROM edges UNION SELECT to_id FROM edges)) AS orphan_node_count,
+  (SELECT count(*) FROM nodes WHERE NOT EXISTS (SELECT 1 FROM edges WHERE from_id = nodes.id) AND NOT EXISTS (SELECT 1 FROM edges WHERE to_id = nodes.id)) AS orphan_node_count,
   (SELECT count(*) FROM edges) AS edge_count, (SELECT count(DISTINCT edge_id) FROM dangling) AS dangling_edge_count,
   CASE WHEN (SELECT count(*) FROM dangling) > 0 THEN 'warning' ELSE 'ok' END AS status""")
 def d09(spark, sf):

@@ -81,8 +81,8 @@ def e06(spark, sf):
 
 
 @query("E06_affected_edges", using("active") + walk_sql(_ONE_SEED, DEPTH) +
-       f"""SELECT id AS edge_id FROM active WHERE from_id IN (SELECT node_id FROM visited WHERE depth < {DEPTH})
-           OR to_id IN (SELECT node_id FROM visited WHERE depth < {DEPTH})""")
+       f"""SELECT id AS edge_id FROM active JOIN visited v ON v.node_id = from_id AND v.depth < {DEPTH}
+           UNION SELECT id FROM active JOIN visited v ON v.node_id = to_id AND v.depth < {DEPTH}""")
 def e06b(spark, sf):
     _, _, out = _single(spark, sf)
     return out["edges"].select("edge_id")
