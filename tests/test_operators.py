@@ -284,6 +284,27 @@ def test_extract_python(spark):
     assert extract.extract_python(files).where("kind = 'ERROR'").count() == 1
 
 
+def test_extract_braces(spark):
+    """Comments and strings hold no code; blocks own what stands in them; calls follow the words of each language."""
+    js = "// class Not {}\nimport x from 'lib';\nclass A extends B {\n  go(a) {\n    if (a) { run(new Thing()); this.log('f( {'); }\n  }\n}\n/* function no() {} */\nfunction top(a) { ignored(); }\n"
+    go = 'package svc\nimport (\n  "fmt"\n)\nfunc (s *Svc) Run(a int) {\n  x := new(T)\n  fmt.Println(x)\n}\nfunc Free() {}\n'
+    java = 'package com.x;\nimport a.B;\nclass K {\n  String s = "class No {";\n  public void run(int a) { helper(a); }\n}\n'
+    files = spark.createDataFrame([("r", "a.ts", js), ("r", "b.go", go), ("r", "K.java", java)], "repo string, path string, content string")
+    got = {(r["kind"], r["id"]) for r in extract.extract_patterns(files).collect()}
+    assert got == {("IMPORT", "module:lib"), ("CLASS", "A"), ("METHOD", "A.go"), ("CALL_EXPR", "call:A.go:5:run"), ("CALL_EXPR", "call:A.go:5:Thing"), ("CALL_EXPR", "call:A.go:5:this.log"), ("METHOD", "top"),
+                   ("IMPORT", "module:fmt"), ("METHOD", "svc.Svc.Run"), ("CALL_EXPR", "call:svc.Svc.Run:6:new"), ("CALL_EXPR", "call:svc.Svc.Run:7:fmt.Println"), ("METHOD", "svc.Free"),
+                   ("IMPORT", "module:a.B"), ("CLASS", "com.x.K"), ("METHOD", "com.x.K.run"), ("CALL_EXPR", "call:com.x.K.run:5:helper")}
+
+
+def test_extract_nested_python(spark):
+    text = "import os as o\nclass A:\n    class B(o.Base):\n        def f(self, x: o.T, *, k=1):\n            def g(): return h(x)\n            y = z = o.path.join('a', b=1)\n"
+    got = {r["id"]: r for r in extract.extract_python(spark.createDataFrame([("r", "p/q.py", text)], "repo string, path string, content string")).collect()}
+    assert set(got) == {"module:os", "class:p.q.A", "class:p.q.A.B", "method:p.q.A.B.f", "method:p.q.A.B.g", "call:p.q.A.B.g:5:h", "assignment:p.q.A.B.f:6:y", "assignment:p.q.A.B.f:6:z",
+                        "call:p.q.A.B.f:6:o.path.join"}
+    assert got["class:p.q.A.B"]["parent"] == "class:p.q.A" and got["method:p.q.A.B.f"]["param_order"] == ["x"]
+    assert got["assignment:p.q.A.B.f:6:y"]["call_name"] == "o.path.join" and got["assignment:p.q.A.B.f:6:y"]["keyword_args"] == {"b": "1"}
+
+
 def test_refresh_keeps_other_files(spark):
     nodes = spark.createDataFrame([("a", "f1"), ("b", "f2"), ("c", "f3")], "id string, file string")
     e = edges_of(spark, [("a", "b"), ("b", "c")])

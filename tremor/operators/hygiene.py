@@ -167,6 +167,7 @@ def filter_by_mode(nodes: DataFrame, annotations: DataFrame, mode: str = "main")
     return nodes.join(reach, "id", "left").where(F.coalesce("_reach", F.lit("UNKNOWN")).isin(*MODES[mode])).drop("_reach")
 
 
+# Parts of paths and names that tell a node's role.
 FRONTEND_PLACES = ("frontend/", "/src/components/", "/components/", "/hooks/", "/api/", "/routes/")
 STORE_TOKENS = ("repository", "/repo", " repo", "/dao", " dao", "/store", " store")
 
