@@ -68,9 +68,9 @@ def h02(spark, sf):
     return H.resolved_by_pack(nodes.where("kind = 'CALL_EXPR'"), edges, evidence)
 
 
-@query("H03_select_regions", using("rated") + "SELECT region_id, score, least(score, 100) AS priority FROM rated WHERE outcome = 'candidate' ORDER BY score DESC, region_id LIMIT 2000")
+@query("H03_select_regions", using("rated") + "SELECT *, rank <= 2000 AS selected FROM (SELECT region_id, score, least(score, 100) AS priority, row_number() OVER (ORDER BY score DESC, region_id) AS rank FROM rated WHERE outcome = 'candidate')")
 def h03(spark, sf):
-    return H.select_regions(_regions(spark, sf)).select("region_id", "score", "priority")
+    return H.select_regions(_regions(spark, sf)).select("region_id", "score", "priority", "rank", "selected")
 
 
 @query("H03_selection_counts", using("rated") + """SELECT *, least(candidate_count, 2000) AS selected, greatest(candidate_count - 2000, 0) AS excluded_limit FROM (
@@ -83,15 +83,15 @@ def h03b(spark, sf):
 _CHANGED = "SELECT concat('src/lines/order_', o_orderkey, '.py') AS file FROM @orders WHERE o_orderpriority = '1-URGENT'"
 
 
-@query("H04_select_regions_for_change", using("rated") + f"SELECT region_id, score FROM rated WHERE outcome = 'candidate' AND file IN ({_CHANGED}) ORDER BY score DESC, region_id LIMIT 50")
+@query("H04_select_regions_for_change", using("rated") + f"SELECT *, rank <= 50 AS selected FROM (SELECT region_id, score, row_number() OVER (ORDER BY score DESC, region_id) AS rank FROM rated WHERE outcome = 'candidate' AND file IN ({_CHANGED}))")
 def h04(spark, sf):
-    return H.select_regions_for_change(_regions(spark, sf), P.run(spark, sf, _CHANGED)).select("region_id", "score")
+    return H.select_regions_for_change(_regions(spark, sf), P.run(spark, sf, _CHANGED)).select("region_id", "score", "rank", "selected")
 
 
-@query("H05_research_requests", using("rated") + """SELECT 'ur-' || substr(sha256(region_id), 1, 16) AS request_id, region_id FROM (
-   SELECT region_id FROM rated WHERE outcome = 'candidate' ORDER BY score DESC, region_id LIMIT 2000)""")
+@query("H05_research_requests", using("rated") + """SELECT 'ur-' || substr(sha256(region_id), 1, 16) AS request_id, region_id, rank FROM (
+   SELECT region_id, row_number() OVER (ORDER BY score DESC, region_id) AS rank FROM rated WHERE outcome = 'candidate')""")
 def h05(spark, sf):
-    return H.research_requests(H.select_regions(_regions(spark, sf))).select("request_id", "region_id")
+    return H.research_requests(H.select_regions(_regions(spark, sf))).select("request_id", "region_id", "rank")
 
 
 define("called", """SELECT n.*, CASE WHEN call_name IN ('print', 'logger.info') THEN 'external_terminal' WHEN p.call_id IS NOT NULL THEN 'pack' WHEN r.ex THEN 'exact'

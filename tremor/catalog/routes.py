@@ -236,17 +236,17 @@ def k21(spark, sf):
     return R.bridge_edges(P.run(spark, sf, _DUP)).select("id", "kind", "original_kind", "status").distinct()
 
 
-@query("C11_usage_examples", """SELECT library, doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY library ORDER BY doc_id, pos) AS n FROM (SELECT library, doc_id, pos, trim(line) AS line FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM @documents) JOIN (SELECT DISTINCT lower(p_type) AS library FROM @part UNION ALL SELECT unnest(['reaux', 'the', 'License'])) ON contains(line, library) WHERE length(line) < 200)) WHERE n <= 10""")
+@query("C11_usage_examples", """SELECT library, doc_id, pos, line FROM (SELECT library, doc_id, pos - 1 AS pos, trim(line) AS line FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM @documents) JOIN (SELECT DISTINCT lower(p_type) AS library FROM @part UNION ALL SELECT unnest(['reaux', 'the', 'License'])) ON contains(line, library))""")
 def c11(spark, sf):
     libs = P.run(spark, sf, "SELECT DISTINCT lower(p_type) AS library FROM @part UNION ALL SELECT * FROM (VALUES ('reaux'), ('the'), ('License')) AS v(library)")
-    return U.usage_examples(P.table(spark, sf, "documents").select(F.col("doc_id"), F.col("text").alias("content")), libs, "doc_id").drop("pos")
+    return U.usage_examples(P.table(spark, sf, "documents").select(F.col("doc_id"), F.col("text").alias("content")), libs, "doc_id")
 
 
 _MUTE = "<(script|style|head|meta|link|noscript)\\b[^>]*>.*?</(script|style|head|meta|link|noscript)\\s*>"
 
 
-@query("C12_page_text", f"""SELECT page_id, substr(array_to_string(list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' '), 1, 10000) AS text FROM (
+@query("C12_page_text", f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ') AS text FROM (
    SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '{_MUTE}', chr(1), 'gsi'), '<[A-Za-z/!][^>]*>', chr(1), 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM @pages)""")
 def c12(spark, sf):
     return U.page_text(P.table(spark, sf, "pages")).select("page_id", "text")
