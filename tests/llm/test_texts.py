@@ -234,7 +234,8 @@ def slow_spans(docs):
                 out[-1] = (key, out[-1][1], max(out[-1][2], b), min(out[-1][3], first))
             else:
                 out.append((key, a, b, first))
-    return out
+    size = {key: len(text.encode()) for key, text in docs}
+    return [r for r in out if r[2] - r[1] >= gear_chunks.LEAST_RANGE or (r[1] == 0 and r[2] == size[r[0]] and r[2] < gear_chunks.LEAST + 1)]
 
 
 def test_chunks_find_repeats_and_resist_shifts(spark, small, edge, empty):

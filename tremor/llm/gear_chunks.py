@@ -21,6 +21,8 @@ from tremor.plans.loops import CutTable
 
 #: Mean bytes between cuts, least bytes of a chunk, and bytes after which a cut is made where the text has none.
 SPACING, LEAST, LONGEST_GAP = 28, 64, 256
+#: Least bytes of a repeated range: about twenty words. Shorter ones are single lines of boilerplate or chance.
+LEAST_RANGE = 128
 #: One random 16-bit number for each byte, made from a seed.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
 _PIECE = 1 << 22
@@ -64,7 +66,7 @@ def chunk_spans(raw: np.ndarray, least: int = LEAST, **options) -> tuple[np.ndar
 
 
 def chunks(docs: DataFrame, least: int = LEAST, places: bool = True) -> DataFrame:
-    """(d1, d2) per chunk and, with ``places``, (doc_id, row_hash, start, end) in UTF-8 bytes."""
+    """(d1, d2) per chunk and, with ``places``, (doc_id, row_hash, start, end) in UTF-8 bytes and whether it is the whole text."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, row, text in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -76,33 +78,37 @@ def chunks(docs: DataFrame, least: int = LEAST, places: bool = True) -> DataFram
                 digest = np.frombuffer(raw, "<i8").reshape(-1, 2)
                 arrays = [pa.array(digest[:, 0]), pa.array(digest[:, 1])]
                 if places:
-                    arrays += [pa.array([key] * len(start), pa.int64()), pa.array([row] * len(start), pa.int64()), pa.array(start), pa.array(end)]
+                    arrays += [pa.array([key] * len(start), pa.int64()), pa.array([row] * len(start), pa.int64()), pa.array(start), pa.array(end),
+                               pa.array((start == 0) & (end == len(body)))]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "d1 bigint, d2 bigint" + (", doc_id bigint, row_hash bigint, start bigint, end bigint" if places else "")
+    schema = "d1 bigint, d2 bigint" + (", doc_id bigint, row_hash bigint, start bigint, end bigint, whole boolean" if places else "")
     names = [c.split()[0] for c in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"),
                        F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, least_range: int = LEAST_RANGE) -> DataFrame:
     """(doc_id, row_hash, start, end, first_doc_id): byte ranges that repeat an earlier text, touching ones united.
 
     ``first_doc_id`` is the smallest document that first held a part of the range. Documents are ordered by
     ``doc_id``, null last, then by hash of the text; rows equal in both are one document. Null and empty texts and
-    texts without a repeated chunk give no row. Digests are counted first, so that only repeated ones are joined.
+    texts without a repeated chunk give no row; ranges below ``least_range`` bytes are left alone, but for texts that
+    are repeated whole. Digests are counted first, so that only repeated ones are joined.
     """
     twice = CutTable(chunks(docs, least, places=False).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")).df
     found = CutTable(chunks(docs, least).join(twice, ["d1", "d2"])).df
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash", "start")
     first = CutTable(found.groupBy("d1", "d2").agg(F.min(order).alias("low"))).df
-    later = found.join(first, ["d1", "d2"]).where(order != F.col("low")).select("doc_id", "row_hash", "start", "end", F.col("low.doc_id").alias("first_doc_id"))
-    per = later.groupBy("doc_id", "row_hash", "start").agg(F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
+    later = found.join(first, ["d1", "d2"]).where(order != F.col("low")).select("doc_id", "row_hash", "start", "end", "whole", F.col("low.doc_id").alias("first_doc_id"))
+    per = later.groupBy("doc_id", "row_hash", "start").agg(F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"), F.bool_or("whole").alias("whole"))
     own = Window.partitionBy("doc_id", "row_hash").orderBy("start")
     upto = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     run = F.sum((F.col("start") > F.coalesce("upto", F.lit(-1))).cast("int")).over(own)
     runs = per.withColumn("upto", upto).withColumn("run", run)
-    return runs.groupBy("doc_id", "row_hash", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id")).drop("run")
+    ranges = runs.groupBy("doc_id", "row_hash", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"),
+                                                           F.bool_or("whole").alias("whole"))
+    return ranges.where((F.col("end") - F.col("start") >= least_range) | F.col("whole")).drop("run", "whole")
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
