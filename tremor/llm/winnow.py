@@ -20,30 +20,35 @@ from tremor.plans.loops import CutTable
 WINDOW = 3
 
 
-def _fingerprints(lines: Column, window: int) -> Column:
-    """For each window (``at`` counts non-empty lines): the place it selects and the digest of its lines."""
-    n = F.size(lines)
-    hashed = F.transform(lines, lambda line, i: F.struct(F.xxhash64(line).alias("value"), (-i).alias("back")))
-    starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(
-        F.array_min(F.slice(hashed, s + 1, F.lit(window))).alias("pick"), s.alias("at"),
-        F.md5(F.array_join(F.slice(lines, s + 1, F.lit(window)), "\n")).alias("key")))
+def _windows(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, row_hash, w) per window: the place it selects, the numbers of its lines and the digest of them.
+
+    Each array that a lambda looks into is a column of an earlier projection, used twice in the next, so that Spark
+    computes it once for a document and not again for every element.
+    """
+    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("line")))
+    filled = docs.where(F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"),
+        F.filter(lines, lambda s: s["line"] != "").alias("lines"))
+    hashed = filled.select("doc_id", "row_hash", "lines", F.transform("lines", lambda s, i: F.struct(F.xxhash64(s["line"]).alias("value"), (-i).alias("back"))).alias("hashed"))
+    n = F.least(F.size("lines"), F.size("hashed"))
+    starts = F.when(n >= window, F.sequence(F.lit(1), n - (window - 1))).otherwise(F.array().cast("array<int>"))
+    own = lambda c, s: F.slice(c, s, F.lit(window))
+    return hashed.select("doc_id", "row_hash", F.explode(F.transform(starts, lambda s: F.struct(
+        F.array_min(own("hashed", s)).alias("pick"), F.transform(own("lines", s), lambda x: x["no"]).alias("nos"),
+        F.md5(F.array_join(F.transform(own("lines", s), lambda x: x["line"]), "\n")).alias("key")))).alias("w"))
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row_hash, lines): for each document with repeated runs, the numbers of their lines among the non-empty ones."""
-    lines = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: x != "")
-    windows = docs.where(F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"), lines.alias("lines"))
-    picked = windows.select("doc_id", "row_hash", F.explode(_fingerprints(F.col("lines"), window)).alias("w"))
-    places = CutTable(picked.select("doc_id", "row_hash", F.col("w.pick.value").alias("value"), (-F.col("w.pick.back")).alias("place"),
-                                    F.col("w.at").alias("at"), F.unhex("w.key").alias("key"))).df
+    """(doc_id, row_hash, lines): for each document with repeated runs, the numbers of their lines from 0."""
+    places = CutTable(_windows(docs, window).select("doc_id", "row_hash", F.col("w.pick.value").alias("value"), (-F.col("w.pick.back")).alias("place"),
+                                                    F.col("w.nos").alias("nos"), F.unhex("w.key").alias("key"))).df
     place = F.struct("doc_id", "row_hash", "place")
     common = CutTable(places.groupBy("value").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("value")).df
-    joined = CutTable(places.join(common, "value", "left_semi").select("doc_id", "row_hash", "at", "key")).df
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash", "at")
+    joined = CutTable(places.join(common, "value", "left_semi").select("doc_id", "row_hash", "nos", "key")).df
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash", F.get("nos", F.lit(0)).alias("at"))
     first = CutTable(joined.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high")).where(F.col("low") != F.col("high")).select("key", "low")).df
-    later = joined.join(first, "key").where(order != F.col("low")).select("doc_id", "row_hash", F.explode(F.sequence(F.col("at"), F.col("at") + (window - 1))).alias("line"))
+    later = joined.join(first, "key").where(order != F.col("low")).select("doc_id", "row_hash", F.explode("nos").alias("line"))
     return later.groupBy("doc_id", "row_hash").agg(F.collect_set("line").alias("lines"))
 
 
@@ -58,15 +63,13 @@ def drop_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     removed = repeated_lines(docs, window).select(F.col("doc_id").alias(key), F.col("row_hash").alias(digest), F.col("lines").alias(out))
     marked = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
     both = marked.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest)), "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    filled = F.filter(numbers, lambda i: F.get(lines, i) != "")  # line number of each non-empty line
-    gone = F.transform(F.col(out), lambda k: F.get(filled, k))
-    kept = F.transform(F.array_except(numbers, gone), lambda i: F.get(lines, i))
+    parts = unused(docs, "_lines")
+    cut = both.select(*[F.col(f"`{c}`") for c in docs.columns], out, F.split(F.col("text").cast("string"), "\n").alias(parts))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), out), lambda i: F.get(F.col(parts), i))
     text = F.when(F.col(out).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return both.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-                       F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-                       F.coalesce(F.size(out), F.lit(0)).cast("long").alias("removed_lines"))
+    return cut.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+                      F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
+                      F.coalesce(F.size(out), F.lit(0)).cast("long").alias("removed_lines"))
 
 
 ORACLE = """
