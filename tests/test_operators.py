@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tremor.functions import paths as PA
 from tremor.functions.textjoin import contains_join
 from tremor.operators import delta, evaluate, extract, graph, hygiene, impact, quality, review, routes, rules, runs, symbols
-from tremor.plans.loops import global_index
+from tremor.plans.loops import cut, global_index
 from tremor.sources import corpus, graphs
 from tremor.streaming import feeds
 
@@ -305,6 +305,18 @@ def test_extract_nested_python(spark):
     assert got["assignment:p.q.A.B.f:6:y"]["call_name"] == "o.path.join" and got["assignment:p.q.A.B.f:6:y"]["keyword_args"] == {"b": "1"}
 
 
+def test_files_to_answers_of_two_repositories(spark, tmp_path):
+    for repo in ("one", "two"):
+        (tmp_path / repo / "pkg").mkdir(parents=True)
+        (tmp_path / repo / "pkg" / "a.py").write_text("class A:\n    def go(self):\n        return helper()\n" + ("import os\n" if repo == "one" else ""))
+    nodes, rows = extract.graph_rows(extract.extract_python(corpus.read_files(spark, str(tmp_path))))
+    edges, nodes = cut(graph.dedupe_edges(rows)), cut(nodes)
+    asked = spark.createDataFrame([("q", "one::class:pkg.a.A")], "query_id string, target string").withColumns({"symbol": F.lit(None).cast("string"), "file_path": F.lit(None).cast("string")})
+    reached = {r["node_id"] for r in impact.impact_query(nodes, edges, asked, max_depth=3)["reached"].collect()}
+    assert reached == {"one::file:pkg/a.py", "one::module:pkg.a", "one::method:pkg.a.A.go", "one::call:pkg.a.A.go:3:helper", "one::module:os"}
+    assert edges.where("from_id LIKE 'two::%'").count() == 4 and edges.where("from_id LIKE 'one::%'").count() == 5
+
+
 def test_refresh_keeps_other_files(spark):
     nodes = spark.createDataFrame([("a", "f1"), ("b", "f2"), ("c", "f3")], "id string, file string")
     e = edges_of(spark, [("a", "b"), ("b", "c")])

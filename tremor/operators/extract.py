@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions import columns as X
+from tremor.plans.loops import cut
 
 # Parsers travel to the executors by value, so nothing has to be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -190,7 +191,7 @@ def extract_python(files: DataFrame) -> DataFrame:
     classes = F.array_join(names(F.filter("blocks", lambda b: b["type"] == "class")), ".")
     functions = F.filter("blocks", lambda b: b["type"] == "function")
     inner = F.element_at("blocks", -1)
-    rows = syntax(files.where(F.lower("path").endswith(".py"))).withColumns({
+    rows = cut(syntax(files.where(F.lower("path").endswith(".py")))).withColumns({
         "module": _module_of("path"), "classes": classes, "method": F.try_element_at(names(functions), F.lit(-1)),
         "in_function": F.when(F.size("blocks") > 0, inner["type"] == "function").otherwise(False)})
     rows = rows.withColumns({
@@ -258,7 +259,7 @@ def extract_patterns(files: DataFrame) -> DataFrame:
 
     A class or function owns what stands between its braces; calls count inside methods and Go functions.
     """
-    rows = syntax(files.where(~F.lower("path").endswith(".py")))
+    rows = cut(syntax(files.where(~F.lower("path").endswith(".py"))))
     ending = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     package = rows.where("type = 'package'").groupBy("repo", "path").agg(F.min_by("name", "no").alias("package"))
     rows = rows.join(package, ["repo", "path"], "left").withColumn("language", X.lookup(ending, LANGUAGES))
@@ -309,6 +310,21 @@ def fact_edges(facts: DataFrame, confidence: float = 1.0) -> DataFrame:
         {"source": F.lit("EXTRACTED"), "confidence": F.lit(confidence)})
 
 
+def graph_rows(facts: DataFrame, confidence: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edge observations) of many repositories in one graph, as dedupe_edges, impact_query and review read them.
+
+    Ids carry their repository, ``<repo>::<id>``, so equal names of two repositories never meet.
+    """
+    own = lambda c: F.concat("repo", F.lit("::"), c)
+    facts = cut(facts)
+    nodes = fact_nodes(facts).select("repo", own("id").alias("id"), "kind", "name", "file", "line", F.lit(None).cast("double").alias("criticality"))
+    edges = fact_edges(facts, confidence).withColumns({"from_id": own("from_id"), "to_id": own("to_id")})
+    edges = edges.withColumns({
+        "id": F.sha2(F.concat_ws("\u0001", "from_id", "to_id", "kind"), 256), "rule_id": F.lit(""), "status": F.lit(None).cast("string"),
+        "warnings": F.lit(None).cast("array<string>"), "ev_text": F.concat(F.lower("kind"), F.lit(" in source")), "ev_file": F.col("file"), "ev_line": F.col("line")})
+    return nodes, edges.withColumn("ord", X.canonical_order())
+
+
 def propagate_ctor_types(facts: DataFrame) -> DataFrame:
     """(repo, class_id, param, type): constructor parameter types, known on the class."""
     init = facts.where("kind = 'METHOD' AND name = '__init__' AND class_name IS NOT NULL")
