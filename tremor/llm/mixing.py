@@ -139,7 +139,8 @@ def mix(docs: DataFrame, carry: Sequence[str], weights: Sequence[float] = (1, 2,
     open_ = plan.where((F.col("extra") > 0) & F.col("split")).select("skey", "size", "extra", "buckets")
     slim = narrow.join(open_, ["skey", "size"]).withColumn("bucket", F.pmod("h", "buckets"))
     upto = Window.partitionBy("skey", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counted = slim.groupBy("skey", "size", "bucket").agg(F.count(F.lit(1)).alias("held"), F.first("extra").alias("extra"))
+    # dealt anew by bucket: else the join's partitions by (skey, size) would serve the counts, a common length in one task
+    counted = slim.repartition("skey", "size", "bucket").groupBy("skey", "size", "bucket").agg(F.count(F.lit(1)).alias("held"), F.first("extra").alias("extra"))
     edge = CutTable(counted.withColumn("before", F.coalesce(F.sum("held").over(upto), F.lit(0)))
                     .where((F.col("before") < F.col("extra")) & (F.col("before") + F.col("held") >= F.col("extra")))
                     .select("skey", "size", F.col("bucket").alias("edge"), (F.col("extra") - F.col("before")).alias("quota"))).df
