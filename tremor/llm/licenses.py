@@ -93,7 +93,7 @@ RULES = (
 )
 #: Every known sentence holds one of these, so a text with none of them is not cut at all.
 HINTS = ("licen", "permission", "redistribut", "copyright", "software", "rights reserved", "warrant", "the mpl")
-#: Ends of sentences: marks before white space, and line breaks. Breaks inside a sentence are met by joining lines.
+#: Ends of pieces: marks before white space, and line breaks. Sentences with such a place inside are found by ``joined`` only.
 BREAKS = r"[.!?;:]+[ \t\n\r]+|[\r\n]+"
 
 
@@ -112,17 +112,29 @@ def rule_pattern(rules=RULES) -> str:
     return "|".join("".join(map(_token, r[2])) for r in ordered)
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules=RULES, hints: tuple[str, ...] = HINTS) -> DataFrame:
+def joined_pattern(known) -> str:
+    """Known sentences over runs of pieces: each begins and ends where a piece does, ends within are skipped; the longest first."""
+    ordered = sorted(known, key=lambda s: (-len(s), s))
+    return r"(?<=\| )(?:" + "|".join(s.replace(" ", r"(?: \|)? ") for s in ordered) + r")(?= \|)"
+
+
+def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules=RULES, hints: tuple[str, ...] = HINTS, joined: bool = False) -> DataFrame:
     """(doc_id, match_no, rule, license, n_sentences) per match, in order of the text.
 
     Each row of ``docs`` is scanned by itself, equal ones give equal matches; null and empty texts and texts without a
     known sentence give no row. ``hints`` must have a part of every known sentence; pass ``("",)`` to scan all texts.
+    With ``joined`` a sentence may run over several pieces, as in wrapped texts and tags; without, it is one piece.
     """
     known = {text: _token(key) for key, text in (sentences or SENTENCES).items()}
     text = F.lower(F.col("text").cast("string"))
-    hinted = F.regexp_like(text, F.lit("|".join(map(re.escape, hints))))
+    hint = "|".join(map(re.escape, hints))
+    hinted = F.regexp_like(text, F.lit(hint.replace(r"\ ", "[^a-z0-9]+") if joined else hint))
     parts = F.transform(F.split(text, BREAKS), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    if joined:
+        marked = F.regexp_replace(F.translate(text, "|", " "), BREAKS, " | ")
+        marked = F.regexp_replace(F.concat(F.lit("| "), F.regexp_replace(marked, "[^a-z0-9|]+", " "), F.lit(" |")), r" *\|[ |]*", " | ")
+        parts = F.transform(F.regexp_extract_all(marked, F.lit(joined_pattern(known)), F.lit(0)), lambda s: F.replace(s, F.lit(" |"), F.lit("")))
     sequence = F.array_join(F.transform(parts, lambda s: F.element_at(ids, s)), "")
     matches = F.regexp_extract_all(sequence, F.lit(f"({rule_pattern(rules)})"), F.lit(1))
     found = docs.where(hinted).select(F.col("doc_id"), F.posexplode(matches).alias("at", "match"))

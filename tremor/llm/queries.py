@@ -83,3 +83,8 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_licenses"] = licenses.oracle()
+
+
+@query
+def op8_licenses_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), joined=True)
