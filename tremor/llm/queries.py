@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremor.llm import decontaminate, gear_chunks, licenses, mixing, projection_forest, rule_ensemble, simhash, string_kernel, token_planes, winnow
+from tremor.llm import (decontaminate, gear_chunks, licenses, mixing, projection_forest, rule_ensemble, simhash, string_kernel, token_counts,
+                        token_planes, winnow)
 from tremor.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,9 @@ ORACLES["op8_licenses"] = licenses.oracle()
 @query
 def op8_licenses_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), joined=True)
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
