@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremor.llm import (decontaminate, gear_chunks, licenses, mixing, projection_forest, rule_ensemble, simhash, string_kernel, token_counts,
+from tremor.llm import (decontaminate, gear_chunks, licenses, mixing, period_runs, projection_forest, rule_ensemble, simhash, string_kernel, token_counts,
                         token_planes, winnow)
 from tremor.llm.common import fold, table
 
@@ -95,3 +95,28 @@ def op8_licenses_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "doc_id")
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in documents whose crc32(doc_id) ends in 0, the words from one place on repeat with a fixed period.
+
+    ``text`` keeps its words in order; rows with a null ``doc_id`` stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.where(h % 10 == 0).select("doc_id", F.expr(r"filter(split(text, '[ \\t-\\r]+'), w -> w <> '')").alias("w"), F.floor(h / 10).alias("g"), F.size("w").alias("n"))
+    placed = words.withColumn("a", F.col("g") % F.greatest("n", F.lit(1))).withColumn("p", F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1)
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p"))
+    again = F.expr("concat(slice(w, 1, int(a)), flatten(array_repeat(slice(w, int(a) + 1, int(p)), int(times))))")
+    changed = placed.withColumn("times", times).select("doc_id", F.when(F.col("n") > 0, F.array_join(F.slice(again, F.lit(1), F.col("n")), " ")).alias("text"))
+    return docs.where((h % 10 != 0) | h.isNull()).select("doc_id", "text").unionAll(changed)
+
+
+@query
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.collapse_runs(with_repeats(table(spark, sf_dir, "documents")), "doc_id")
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = found.withColumn("best", period_runs.strongest("runs"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
