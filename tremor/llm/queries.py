@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremor.llm import (decontaminate, gear_chunks, licenses, mixing, period_runs, projection_forest, rule_ensemble, simhash, string_kernel, token_counts,
+from tremor.llm import (decontaminate, gear_chunks, lexical_search, licenses, mixing, period_runs, projection_forest, rule_ensemble, simhash, string_kernel, token_counts,
                         token_planes, winnow)
 from tremor.llm.common import fold, table
 
@@ -120,3 +120,11 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = lexical_search.ORACLE
