@@ -1,4 +1,5 @@
 """Operators on texts against plain Python, and on the rows that must not break them."""
+import os
 import re
 import zlib
 
@@ -6,11 +7,15 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tremor.llm import decontaminate, gear_chunks, licenses, rule_ensemble, simhash, string_kernel, token_planes, winnow
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(TOKENIZER)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -307,13 +312,37 @@ def test_tokens_of_nothing(spark, empty):
     assert rows(token_planes.encode_and_read(empty, TOKENIZER)) == []
 
 
-@pytest.mark.parametrize("text", ["", "A b\u0085c", "x <|endoftext|> y<|ENDOFTEXT|>z", "ΟΔΟΣ, ΟΔΟΣ", "é ́e J̌, J̌", "don't I'LL 's, 't.", "abc1, x2.", "日本語、テスト。", "a\x0bb\x1cc", " İstanbul ", "ﬁ, ß ẞ."])
+@pytest.mark.parametrize("text", ["", "A b\u0085c", "x <|endoftext|> y<|ENDOFTEXT|>z", "ΟΔΟΣ, ΟΔΟΣ", "é ́e J̌, J̌", "don't I'LL 's, 't.", "abc1, x2.", "日本語、テスト。", "a\x0bb\x1cc", " İstanbul ", "ﬁ, ß ẞ.",
+                                  "EVİ.", "ERDALİ.", "İ!", "the end İ, next", "e\u0301. E\u0301, \u0301. x\u0307!", "é<|ENDOFTEXT|>x", "<|endoftext|>. <|x.", "слово. Слово, ǅ. ꟸ. 𝒳."])
 def test_words_of_their_own_have_the_same_ids(text):
     from tokenizers import Tokenizer
 
     assert np.frombuffer(token_planes.text_ids(TOKENIZER, text), "<u4").tolist() == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=int(os.environ.get("TREMOR_EXAMPLES", 1500)), deadline=None)
+@given(st.lists(st.sampled_from([*"aBé ßİıſΣσςÅﬁЖж中1٣,.!?:;()#$%&*'’-_ \n\t\r\x0b\x1c\x85\u0301\u0307\u0345\u00a0\u2028\u212a\u1e9e\u0149🙂", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "word", "Word."]), max_size=40))
+def test_any_words_have_the_ids_of_the_whole_text(parts):
+    text = "".join(parts)
+    assert np.frombuffer(token_planes.text_ids(TOKENIZER, text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "  Don't split  THIS, İ. \n\n or that "
+    assert token_planes.by_words(TOKENIZER) and not token_planes.by_words(path)
+    assert np.frombuffer(token_planes.text_ids(path, text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_full_memories_are_emptied(monkeypatch):
+    monkeypatch.setattr(token_planes, "WORD_MEMORY", 20)
+    words, texts = token_planes._Words(TOKENIZER), [" ".join(f"Wörd{chr(97 + k % 26)}{'x' * (k % 7)}. tail" for k in range(j, j + 30)) for j in range(0, 90, 10)]
+    for k in range(0, 9, 3):
+        got = words.ids(texts[k:k + 3])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts[k:k + 3]]
+        assert len(words.whole) < 150
+
+
 @pytest.mark.parametrize("width", [1, 8])
 @pytest.mark.parametrize("n", [1, 7, 8, 1003])
 def test_planes_round_trip(width, n):

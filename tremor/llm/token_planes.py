@@ -10,12 +10,16 @@ executors, and a reader opens only the blocks it needs.
 from __future__ import annotations
 
 import functools
+import gc
+import json
 import os
 import unicodedata
 import uuid
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tremor.llm.common import slices
 from tremor.session import shared_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
 #: Words (and stems) kept with their ids per Python worker.
-WORD_MEMORY = 600_000
+WORD_MEMORY = 1_000_000
+_SLICE_CHARS = 1 << 21
 
 BLOCKS = ("part int, block int, first long, n int, width int, planes array<binary>, "
           "piece_doc array<bigint>, piece_start array<bigint>, piece_first array<int>, piece_n array<int>")
@@ -44,22 +50,32 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: The pattern that splits texts where words are encoded on their own; a file with another one has its texts encoded whole.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = ",.!#$%&*;:?()"
+
+
 @functools.cache
-def _word_ends(path: str) -> np.ndarray:
-    """By id: does the token end a word?"""
-    vocab = _tokenizer(path).get_vocab()
-    ends = np.zeros(max(vocab.values()) + 1, bool)
-    ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
-    return ends
+def by_words(path: str) -> bool:
+    """Does the file drop white space and never join characters across it, so that words may be encoded one by one?"""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = all(not t[f] for t in spec["added_tokens"] for f in ("single_word", "lstrip", "rstrip", "normalized"))
+    return (plain and steps == ["NFC", "Replace", "Lowercase"] and spec["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+            and [p["type"] for p in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": _SPLIT}
+            and splits[0]["invert"] and splits[0]["behavior"] == "Removed" and not splits[1]["use_regex"] and not splits[1]["add_prefix_space"]
+            and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>" and not spec["model"]["dropout"]
+            and all(t["content"].startswith("<|") for t in spec["added_tokens"]))
 
 
 class _Words:
     """Ids by word, kept by one Python worker.
 
-    The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its
-    words in a row. A word is lower-cased and its trailing punctuation split off where that provably leaves its ids
-    as they are; new stems of Latin letters are then encoded together in one call and told apart by the tokens that
-    end a word. Both memories are emptied when full.
+    Each distinct word of a slice of texts is looked up once, and the slice's ids are gathered by the words' numbers.
+    A word is lower-cased and its trailing punctuation split off where that provably leaves its ids as they are;
+    new stems are encoded once. Both memories are emptied when full.
     """
 
     def __init__(self, path: str):
@@ -67,37 +83,42 @@ class _Words:
         self.whole: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
 
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        found = list(map(self.whole.get, words))
-        if None in found:
-            self._learn({w for w, f in zip(words, found) if f is None})
-            found = map(self.whole.__getitem__, words)
-        out = b"".join(found)
-        if len(self.whole) > WORD_MEMORY:
-            self.whole = {"": b""}
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        parts = {w: _stem(w) for w in words}
-        fresh = {x for pair in parts.values() for x in pair if x not in self.stems}
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if not by_words(self.path):
+            return [array("I", e.ids).tobytes() for e in _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+        lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        sizes = np.array([0, *map(len, lists)], np.int64)
+        numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+        values = list(map(self.whole.get, number))
+        fresh = [w for w, v in zip(number, values) if v is None]
+        if fresh:
+            if len(self.whole) + len(fresh) > WORD_MEMORY:
+                self.whole = {"": b""}
+                fresh = [w for w in number if w]
+            self._learn(fresh)
+            values = list(map(self.whole.__getitem__, number))
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        pool, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(lengths) - lengths
+        each = lengths[numbers]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        found = pool[np.repeat(starts[numbers] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[np.cumsum(sizes)]).tolist()
+        return [found[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: list[str]) -> None:
+        parts = list(map(_stem, words))
         if len(self.stems) > WORD_MEMORY:
             self.stems = {"": b""}
-            fresh = {x for pair in parts.values() for x in pair if x}
-        plain = [w for w in fresh if w.isalpha() and max(w) < "\u0250"]
-        if plain and not self._together(plain):
-            plain = []
+        fresh = {x for pair in parts for x in pair if x not in self.stems}
+        # a word of lower-case ASCII letters is one word of the model as it stands
+        plain = [w for w in fresh if w.isascii() and w.isalpha() and w.islower()]
+        tokenize, stems = _tokenizer(self.path).model.tokenize, self.stems
+        for w in plain:
+            stems[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
         self._apart(list(fresh.difference(plain)))
-        self.whole.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in parts.items())
-
-    def _together(self, words: list[str]) -> bool:
-        ids = np.array(_tokenizer(self.path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(_word_ends(self.path)[ids]) + 1
-        if len(cuts) != len(words):
-            return False
-        raw, at = ids.tobytes(), (4 * cuts).tolist()
-        self.stems.update((w, raw[a:b]) for w, a, b in zip(words, [0, *at], at))
-        return True
+        self.whole.update((w, stems[a] + stems[b] if b else stems[a]) for w, (a, b) in zip(words, parts))
 
     def _apart(self, words: list[str]) -> None:
         coded = _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False) if words else []
@@ -107,29 +128,41 @@ class _Words:
 def _stem(word: str) -> tuple[str, str]:
     """(stem, trailing punctuation) whose ids in a row are those of the word.
 
-    Letters and punctuation are always separate words of the tokenizer; apostrophes and the signs of special tokens
-    are not split off. Lower-casing is left out where it and Unicode composition could meet in another order.
+    A Latin letter and punctuation after it are always separate words of the tokenizer; it has to be a letter after
+    lower-casing too, which may leave a combining mark at the end. Apostrophes are not split off, and words with the signs
+    of special tokens are left alone. Lower-casing is left out where it and Unicode composition could meet in another order.
     """
-    stem = word.rstrip(",.!#$%&*;:?()")
-    if not stem[-1:].isalpha():
-        stem = word
-    tail = word[len(stem):]
-    if not stem.isascii():
-        low = stem.lower()
-        if "\u03a3" in stem or not (unicodedata.is_normalized("NFC", stem) and unicodedata.is_normalized("NFC", low)):
-            return stem, tail
-        return low, tail
-    return (stem if "<|" in stem else stem.lower()), tail
+    if "<|" in word:
+        return word, ""
+    stem = word.rstrip(_MARKS)
+    low = stem.lower()
+    if not stem.isascii() and ("\u03a3" in stem or not (unicodedata.is_normalized("NFC", stem) and unicodedata.is_normalized("NFC", low))):
+        low = stem
+    if len(stem) == len(word):
+        return low, ""
+    last = stem[-1:].lower()[-1:]
+    if last.isalpha() and last < "\u0250":
+        return low, word[len(stem):]
+    return word, ""
 
 
 _WORKER: dict[str, _Words] = {}
 
 
-def text_ids(path: str, text: str | None) -> bytes:
-    """Ids of a text as little-endian unsigned 32-bit integers, without special tokens around it."""
+def texts_ids(path: str, texts: list[str | None]) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers, without special tokens around it."""
     if path not in _WORKER:
         _WORKER[path] = _Words(path)
-    return _WORKER[path].ids(text or "")
+    # a slice makes very many small objects and no cycles
+    gc.disable()
+    try:
+        return _WORKER[path].ids([t or "" for t in texts])
+    finally:
+        gc.enable()
+
+
+def text_ids(path: str, text: str | None) -> bytes:
+    return texts_ids(path, [text])[0]
 
 
 def to_planes(ids: np.ndarray, width: int) -> list[bytes]:
@@ -210,9 +243,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, *, end_id: int = END
         writer = _BlockWriter(TaskContext.get().partitionId(), block_ids, width)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for key, text in zip(keys, texts):
-                for row in writer.add(key, text_ids(tokenizer, text) + end):
-                    yield _batch([row])
+            for i, j in slices(texts, _SLICE_CHARS):
+                for key, ids in zip(keys[i:j], texts_ids(tokenizer, texts[i:j])):
+                    for row in writer.add(key, ids + end):
+                        yield _batch([row])
         if writer.held:
             yield _batch([writer.close()])
 
