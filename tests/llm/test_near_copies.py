@@ -66,10 +66,29 @@ def test_large_group_of_near_copies_is_not_paired(spark):
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert kept(spark, frame) == [0, 1000]
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("low")
-    nodes = near_copies._sets(frame, False).groupBy("node").agg(low, F.first("n").alias("n"), F.first("need").alias("need"), F.first("part").alias("part"))
+    nodes = near_copies._sets(frame, False).groupBy("node").agg(low, F.first("n").alias("n"), F.first("part").alias("part"))
     assert near_copies.links(frame, nodes).count() < 300 * 10
 
 
+def test_recall_in_a_large_group_of_loose_copies(spark):
+    """700 texts of one pattern, most pairs just below or above 0.8: links and groups against all pairs."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(260)]
+    docs = []
+    for k in range(700):
+        words = list(base)
+        for at in rng.choice(260, int(rng.integers(1, 7)), replace=False):
+            words[at] = f"x{k}-{at}"
+        docs.append((k, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    own = word_sets([t for _, t in docs])
+    pairs = [(a, b) for a in range(700) for b in range(a) if len(own[a] & own[b]) * 9 >= 4 * (len(own[a]) + len(own[b]))]
+    keys = [set(near_copies.band_keys(near_copies.shingles(t)[1]).tolist()) for _, t in docs]
+    assert sum(bool(keys[a] & keys[b]) for a, b in pairs) >= 0.99 * len(pairs)
+    want, got = slow_keepers(docs), kept(spark, frame)
+    assert len(want) <= len(got) and 700 - len(got) >= 0.99 * (700 - len(want))
+
+
 def test_later_stages_after_the_jaccard_stage(spark, small, tmp_path):
     docs, seen = small, {}
     for name, stage in corpus_pipeline.STAGES[:3]:

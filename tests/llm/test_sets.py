@@ -123,9 +123,9 @@ def test_pipeline_stages_take_effect(spark, small, tmp_path):
     text = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
     language, unique, clean = text(seen["language"]), text(seen["near_duplicates"]), text(seen["decontaminated"])
     assert language == {k: t for k, t in text(small).items() if re.search(r"[^\W\d_]", t or "")}
-    from test_texts import slow_groups
+    from test_near_copies import slow_keepers
 
-    assert sorted(unique) == sorted({c for _, _, c in slow_groups(sorted(language.items()))})
+    assert sorted(unique) == slow_keepers(sorted(language.items()))
     from tremor.llm.decontaminate import shingles, words_of
 
     items = [shingles(words_of(r["text"])) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
