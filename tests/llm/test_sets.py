@@ -111,6 +111,15 @@ def test_search_edge_rows(spark):
     assert projection_forest.search(table.where("false"), F.lit(True)).collect() == []
 
 
+def best_sum(lengths, target):
+    """Greatest sum of documents not above the target, each taken floor(target / size) times or once more."""
+    whole = int(target // sum(lengths)) * sum(lengths)
+    sums = {0}
+    for n in lengths:
+        sums |= {s + n for s in sums if s + n <= target - whole}
+    return whole + max(sums)
+
+
 def test_pipeline_stages_take_effect(spark, small, tmp_path):
     docs, seen = small, {}
     for name, stage in corpus_pipeline.STAGES:
@@ -131,12 +140,15 @@ def test_pipeline_stages_take_effect(spark, small, tmp_path):
     items = [shingles(words_of(r["text"])) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     dirty = {k for k, t in unique.items() if any(len(i & shingles(words_of(t))) >= 0.8 * len(i) for i in items)}
     assert dirty and set(clean) == set(unique) - dirty
-    sizes, taken = Counter(), Counter()
+    sizes, taken, lengths = Counter(), Counter(), {}
     for r in seen["decontaminated"].collect():
-        sizes[r["source"]] += len(WORD.findall(r["text"]))
+        n = len(WORD.findall(r["text"]))
+        sizes[r["source"]] += n
+        lengths.setdefault(r["source"], []).append(n)
     for r in seen["mixed"].collect():
         taken[r["source"]] += len(WORD.findall(r["text"]))
-    assert all(abs(taken[s] - t) <= max(1, 0.02 * t) for s, t in slow_targets(sizes).items())
+    # few documents may have no sum near the target: then it is the best one that is not above it
+    assert all(abs(taken[s] - t) <= max(1, 0.02 * t) or taken[s] == best_sum(lengths[s], t) for s, t in slow_targets(sizes).items())
     mixed = sorted(r["doc_id"] for r in seen["mixed"].collect())
     assert [r["doc_id"] for r in sorted(seen["tokens"].collect(), key=lambda r: r["start"])] == mixed
 
