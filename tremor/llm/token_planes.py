@@ -13,13 +13,12 @@ import functools
 import gc
 import json
 import os
+import re
 import unicodedata
 import uuid
 import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from tremor.session import shared_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Words (and stems) kept with their ids per Python worker.
+#: Pieces of text kept with their ids per Python worker.
 WORD_MEMORY = 600_000
 _SLICE_CHARS = 1 << 20
 
@@ -52,7 +51,6 @@ def _tokenizer(path: str):
 
 #: The pattern that splits texts where words are encoded on their own; a file with another one has its texts encoded whole.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_MARKS = ",.!#$%&*;:?()"
 
 
 @functools.cache
@@ -67,83 +65,145 @@ def by_words(path: str) -> bool:
             and [p["type"] for p in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": _SPLIT}
             and splits[0]["invert"] and splits[0]["behavior"] == "Removed" and not splits[1]["use_regex"] and not splits[1]["add_prefix_space"]
             and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>" and not spec["model"]["dropout"]
-            and all(t["content"].startswith("<|") for t in spec["added_tokens"]))
+            and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in spec["added_tokens"]))
+
+
+_WHITE, _LETTER, _DIGIT, _MARK, _ODD, _STAND_IN = range(6)
+#: What an odd word is replaced by while its slice is cut; itself no character of an even word.
+_PLACE = "\x01"
+_EVEN_WORD = re.compile("[!-~\xa1-\u023f]*")
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each byte of lower-cased even text, and of the characters whose first byte is 0xC2."""
+    each, after = np.full(256, _ODD, np.uint8), np.full(256, _ODD, np.uint8)
+    each[list(b" \t\n\r")] = _WHITE
+    each[ord(_PLACE)] = _STAND_IN
+    kinds = {"L": _LETTER, "N": _DIGIT}
+    for c in range(0x21, 0x7F):
+        each[c] = kinds.get(unicodedata.category(chr(c))[0], _MARK)
+    for c in range(0xA1, 0xC0):
+        after[c] = kinds.get(unicodedata.category(chr(c))[0], _MARK)
+    each[0x80:0xC0] = each[0xC2:0xC9] = _LETTER  # U+00C0 to U+023F are letters but for two signs
+    return each, after
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level tokenizers: itself if printable, else the next from U+0100."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}}
+
+
+_CLASS, _CLASS_C2 = _classes()
+_BYTE_LETTERS = _byte_letters()
+
+
+def _cut(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, starts) of the bytes of lower-cased text with two line ends after it: where does a piece of the pattern begin?"""
+    raw = np.frombuffer(text, np.uint8)
+    kind = _CLASS[raw]
+    two = np.flatnonzero(raw == 0xC2)
+    kind[two] = kind[two + 1] = _CLASS_C2[raw[two + 1]]
+    signs = np.flatnonzero(raw == 0xC3)
+    signs = signs[(raw[signs + 1] == 0x97) | (raw[signs + 1] == 0xB7)]
+    kind[signs] = kind[signs + 1] = _MARK
+    starts = np.empty(len(raw), bool)
+    starts[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    digits = np.flatnonzero(kind == _DIGIT)
+    starts[digits[(raw[digits] < 0x80) | (raw[digits] >= 0xC0)]] = True
+    # 's 't 'm 'd 're 've 'll are pieces where the apostrophe begins one
+    marks = np.flatnonzero(raw == ord("'"))
+    if len(marks):
+        marks = marks[starts[marks]]
+        one, other = raw[marks + 1], raw[marks + 2]
+        short = np.isin(one, list(b"stmd"))
+        long = ((one == ord("r")) | (one == ord("v"))) & (other == ord("e")) | (one == ord("l")) & (other == ord("l"))
+        for found, size in ((marks[short], 2), (marks[long], 3)):
+            starts[found + 1] = False
+            starts[found + size] = True
+    starts &= kind != _WHITE
+    return kind, starts
+
+
+class _Pieces(dict):
+    """Number of each piece of text seen by one Python worker; ids of piece k are ``pool[ends[k]:ends[k + 1]]``."""
+
+    def __init__(self, path: str):
+        self.encode, self.tokenize = _tokenizer(path).encode, _tokenizer(path).model.tokenize
+        self.pool, self.ends = array("I", [0]), array("q", [1])
+
+    def __missing__(self, key: bytes) -> int:
+        if key[0] == ord(_PLACE):
+            ids = self.encode(key[1:].decode(), add_special_tokens=False).ids
+        else:
+            piece = key.decode() if key.isascii() else key.decode("latin-1").translate(_BYTE_LETTERS)
+            ids = [t.id for t in self.tokenize(piece)]
+        self.pool.extend(ids)
+        self.ends.append(len(self.pool))
+        self[key] = number = len(self)
+        return number
 
 
 class _Words:
-    """Ids by word, kept by one Python worker.
+    """Ids of texts, with each distinct piece of text encoded once and kept by one Python worker.
 
-    Each distinct word of a slice of texts is looked up once, and the slice's ids are gathered by the words' numbers.
-    A word is lower-cased and its trailing punctuation split off where that provably leaves its ids as they are;
-    new stems are encoded once. Both memories are emptied when full.
+    The lower-cased texts of a slice are cut into the pieces of the tokenizer's pattern as bytes, all at once. Only
+    even words are cut: those of printable ASCII, Latin-1 and Latin Extended-A/B, which Unicode composition leaves as
+    they are. A word with any other character, or with the signs of a special token, is encoded whole by the library.
+    The memory is emptied when full.
     """
 
     def __init__(self, path: str):
         self.path = path
-        self.whole: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
+        self.whole = _Pieces(path)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not by_words(self.path):
             return [array("I", e.ids).tobytes() for e in _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
-        lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        number: defaultdict[str, int] = defaultdict()
-        number.default_factory = number.__len__
-        sizes = np.array([0, *map(len, lists)], np.int64)
-        numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
-        values = list(map(self.whole.get, number))
-        fresh = [w for w, v in zip(number, values) if v is None]
-        if fresh:
-            if len(self.whole) + len(fresh) > WORD_MEMORY:
-                self.whole = {"": b""}
-                fresh = [w for w in number if w]
-            self._learn(fresh)
-            values = list(map(self.whole.__getitem__, number))
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        pool, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(lengths) - lengths
-        each = lengths[numbers]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        found = pool[np.repeat(starts[numbers] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
-        cuts = (4 * ends[np.cumsum(sizes)]).tolist()
-        return [found[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def _learn(self, words: list[str]) -> None:
-        parts = list(map(_stem, words))
-        if len(self.stems) > WORD_MEMORY:
-            self.stems = {"": b""}
-        fresh = {x for pair in parts for x in pair if x not in self.stems}
-        # a word of lower-case ASCII letters is one word of the model as it stands
-        plain = [w for w in fresh if w.isascii() and w.isalpha() and w.islower()]
-        tokenize, stems = _tokenizer(self.path).model.tokenize, self.stems
-        for w in plain:
-            stems[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
-        self._apart(list(fresh.difference(plain)))
-        self.whole.update((w, stems[a] + stems[b] if b else stems[a]) for w, (a, b) in zip(words, parts))
-
-    def _apart(self, words: list[str]) -> None:
-        coded = _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False) if words else []
-        self.stems.update((w, array("I", c.ids).tobytes()) for w, c in zip(words, coded))
-
-
-def _stem(word: str) -> tuple[str, str]:
-    """(stem, trailing punctuation) whose ids in a row are those of the word.
-
-    A Latin letter and punctuation after it are always separate words of the tokenizer; it has to be a letter after
-    lower-casing too, which may leave a combining mark at the end. Apostrophes are not split off, and words with the signs
-    of special tokens are left alone. Lower-casing is left out where it and Unicode composition could meet in another order.
-    """
-    if "<|" in word:
-        return word, ""
-    stem = word.rstrip(_MARKS)
-    low = stem.lower()
-    if not stem.isascii() and ("\u03a3" in stem or not (unicodedata.is_normalized("NFC", stem) and unicodedata.is_normalized("NFC", low))):
-        low = stem
-    if len(stem) == len(word):
-        return low, ""
-    last = stem[-1:].lower()[-1:]
-    if last.isalpha() and last < "\u0250":
-        return low, word[len(stem):]
-    return word, ""
+        if len(self.whole) > WORD_MEMORY:
+            self.whole = _Pieces(self.path)
+        lows, odd = [t.lower().encode() for t in texts], []
+        joined = b"\n".join(lows) + b"\n\n"
+        kind, starts = _cut(joined)
+        if _PLACE.encode() in joined or b"<|" in joined or (kind == _ODD).any():
+            lows = [_without_odd(t, odd).lower().encode() for t in texts]
+            joined = b"\n".join(lows) + b"\n\n"
+            kind, starts = _cut(joined)
+        at = np.flatnonzero(starts[1:] & (kind[:-1] != _WHITE)) + 1
+        found = np.insert(np.frombuffer(joined, np.uint8), at, ord(" ")).tobytes().split()
+        if odd:
+            words = iter(odd)
+            found = [next(words) if x == _PLACE.encode() else x for x in found]
+        numbers = np.fromiter(map(self.whole.__getitem__, found), np.int64, len(found))
+        pool, ends = np.frombuffer(self.whole.pool, "<u4"), np.frombuffer(self.whole.ends, np.int64)
+        each = ends[numbers + 1] - ends[numbers]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(ends[numbers] - upto[:-1], each) + np.arange(upto[-1])].tobytes()
+        del pool, ends
+        sizes = np.cumsum([0] + [len(x) + 1 for x in lows])
+        before = np.concatenate([[0], np.cumsum(starts)])[sizes]
+        cuts = (4 * upto[before]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _without_odd(text: str, odd: list[bytes]) -> str:
+    """The words of a text, with a stand-in for each word that is not even; those are added to ``odd``."""
+    words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    for k, word in enumerate(words):
+        if "<|" in word or not _EVEN_WORD.fullmatch(word.lower()):
+            odd.append((_PLACE + word).encode())
+            words[k] = _PLACE
+    return " ".join(words)
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of bounded size, cut at spaces."""
+    at = 0
+    while len(text) - at > _SLICE_CHARS and (cut := text.find(" ", at + _SLICE_CHARS)) >= 0:
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 _WORKER: dict[str, _Words] = {}
@@ -156,6 +216,8 @@ def texts_ids(path: str, texts: list[str | None]) -> list[bytes]:
     # a slice makes very many small objects and no cycles
     gc.disable()
     try:
+        if by_words(path) and any(len(t or "") > _SLICE_CHARS for t in texts):
+            return [b"".join(_WORKER[path].ids([part])[0] for part in _parts(t or "")) for t in texts]
         return _WORKER[path].ids([t or "" for t in texts])
     finally:
         gc.enable()
