@@ -334,6 +334,13 @@ def test_other_tokenizers_encode_whole_texts():
     assert np.frombuffer(token_planes.text_ids(path, text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(token_planes, "_SLICE_CHARS", 50)
+    line = "Don't stop. L'été «où» 12½ ×3 it's 're <|endoftext|> 日本語 Ωmega naïve’s end!!\n"
+    for text in (line * 40, line.replace(" ", "_") * 40, "x" * 120, ""):
+        assert np.frombuffer(token_planes.text_ids(TOKENIZER, text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_full_memories_are_emptied(monkeypatch):
     monkeypatch.setattr(token_planes, "WORD_MEMORY", 20)
     words, texts = token_planes._Words(TOKENIZER), [" ".join(f"Wörd{chr(97 + k % 26)}{'x' * (k % 7)}. tail" for k in range(j, j + 30)) for j in range(0, 90, 10)]
