@@ -62,8 +62,8 @@ define("sup", "SELECT concat('repo_', s_suppkey) AS repo, s_suppkey AS k FROM @s
 
 
 def _files(spark, sf):
-    """The generated corpus as a stored table, as a real corpus would be."""
-    return cut(P.run(spark, sf, FILES))
+    """The generated corpus as a stored table, as a real corpus would be: in pieces for all cores, whatever the pieces of ``part``."""
+    return cut(P.run(spark, sf, FILES).repartition(4 * spark.sparkContext.defaultParallelism, "repo", "path"))
 
 
 _GIT = "SELECT repo, path FROM ({files}) f UNION ALL SELECT concat('repo_', s_suppkey), 'app/.git/HEAD' FROM @supplier WHERE s_suppkey % 7 = 0"

@@ -6,18 +6,18 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremor.session import shared_folder
+from tremor.session import shared_folder, sized
 
 
 class CutTable:
     """A frame written to the shared folder; ``df`` reads it back with a short plan.
 
-    Parquet rather than an RDD checkpoint: the next round's plan then knows the table's size,
+    Parquet rather than an RDD checkpoint: the next round's plan then knows the table's size (see ``sized``),
     so small frontiers are broadcast under Spark's own size limit and large ones shuffled.
     """
 
     def __init__(self, df: DataFrame):
-        spark = df.sparkSession
+        spark = sized(df.sparkSession)
         self.path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)

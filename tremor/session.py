@@ -40,3 +40,19 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-tremor-")
     return _OWN[app]
+
+
+#: Bytes in memory for a byte of Parquet: tables of ids, paths and kinds repeat their texts, which the files hold once.
+_IN_MEMORY = "16"
+
+
+def sized(spark: SparkSession) -> SparkSession:
+    """The session, which from now on takes a stored table for what it needs in memory and not for its files' size.
+
+    Otherwise a table of a million rows whose texts repeat passes for one to broadcast, and the driver builds it. A value
+    that the session was given stays.
+    """
+    key = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(key)) == 1:
+        spark.conf.set(key, _IN_MEMORY)
+    return spark

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor.session import sized
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 _MARK = re.compile(r"@(" + "|".join(TABLES) + r")\b")
@@ -105,11 +107,11 @@ def duck_text(sql: str) -> str:
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(spark_text(sql, sf_dir))
+    return sized(spark).sql(spark_text(sql, sf_dir))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return sized(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
