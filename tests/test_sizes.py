@@ -1,6 +1,7 @@
 """How large tables are taken to be and how they are dealt out: what a driver and its tasks meet at size."""
 from pyspark.sql import functions as F
 
+from tremor.operators import extract
 from tremor.plans.loops import cut
 
 
@@ -9,3 +10,23 @@ def test_stored_table_of_repeated_texts_is_not_broadcast(spark):
     rows = spark.range(0, 300_000, 1, 4).select((F.col("id") % 50_000).alias("id"), F.lit("a path that every row has " * 4).alias("text"))
     joined = cut(rows).join(cut(rows.withColumnRenamed("text", "other")), "id")
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_files_of_one_piece_are_parsed_by_all_cores_in_few_batches(spark):
+    """A task's rows leave it in batches of many files, and the files of one partition go to all tasks."""
+    files = spark.range(0, 400, 1, 1).select(F.lit("r").alias("repo"), F.concat(F.lit("p"), "id", F.lit(".py")).alias("path"), F.lit("import os\n\n\ndef f(a):\n    return g(a)\n").alias("content"))
+
+    def sizes(batches):
+        import pyarrow as pa
+        yield pa.RecordBatch.from_pydict({"n": [b.num_rows for b in batches]})
+
+    found = [r["n"] for r in extract.syntax(files).mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 400 * 5 and len(found) < 400
+    assert len({r["p"] for r in extract.syntax(files).select(F.spark_partition_id().alias("p")).collect()}) >= spark.sparkContext.defaultParallelism
+
+
+def test_stream_of_a_table_in_several_files(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k // 2}", "en", "web", 6) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["seq"], r["change"]) for r in catalog.QUERIES["S01_stream_file_changes"](spark, str(tmp_path)).collect())
+    assert got == [(k, "added" if k == 0 else "modified") for k in range(0, 40, 2)]
