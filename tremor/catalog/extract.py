@@ -89,8 +89,12 @@ def _place(spark):
 
 
 def _stream(spark, sf, name):
-    schema = P.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream: one file beside the other tables, or a folder of files."""
+    table = P.table(spark, sf, name)
+    reader, own = spark.readStream.schema(table.schema), f"{name}.parquet"
+    if all(f.rsplit("/", 1)[-1] == own for f in table.inputFiles()):
+        return reader.option("pathGlobFilter", own).parquet(sf)
+    return reader.parquet(f"{sf}/{own}")
 
 
 @query("S01_stream_file_changes", """SELECT path, sha256, seq, CASE WHEN prev IS NULL THEN 'added' ELSE 'modified' END AS change FROM (SELECT *, lag(sha256) OVER (PARTITION BY path ORDER BY seq) AS prev FROM (
