@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from tremor import catalog
+from tremor.functions import textjoin
 from tremor.operators import extract
 from tremor.plans.loops import cut
 
@@ -31,3 +32,17 @@ def test_stream_of_a_table_in_several_files(spark, tmp_path):
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["seq"], r["change"]) for r in catalog.QUERIES["S01_stream_file_changes"](spark, str(tmp_path)).collect())
     assert got == [(k, "added" if k == 0 else "modified") for k in range(0, 40, 2)]
+
+
+def test_needles_meet_few_texts_they_are_not_in(spark):
+    """Ids of one pattern share all their short grams: a candidate must share more than three digits."""
+    ids = spark.range(0, 20_000, 1, 4).select(F.concat(F.lit("part:"), "id").alias("text"))
+    needles = spark.range(10_000, 20_000, 7, 4).select(F.concat(F.lit("rt:"), "id").alias("needle"))
+    grams = textjoin._grams
+    sizes = []
+    textjoin._grams = lambda text, n: sizes.append(n) or grams(text, n)
+    try:
+        assert textjoin.contains_join(ids, "text", needles, "needle").count() == needles.count()
+    finally:
+        textjoin._grams = grams
+    assert set(sizes) == {8}
