@@ -16,6 +16,8 @@ EXCLUDED_PARTS = (".venv", "venv", "site-packages", "__pycache__", ".pytest_cach
 
 
 def _glob(path: Column, pattern: str) -> Column:
+    if not set(pattern) & set("*?["):
+        return path == pattern
     return path.rlike("(?s)^" + fnmatch.translate(pattern).replace("(?s:", "(?:").replace("\\Z", "").replace("\\z", "") + "$")
 
 
@@ -53,46 +55,52 @@ def normalize_symbol(symbol: Column | str) -> Column:
     return F.regexp_replace(F.trim(F.coalesce(X.col(symbol), F.lit(""))), "^(method:|function:|class:)", "")
 
 
-def _dotted_suffixes(name: Column) -> Column:
-    parts = F.split(name, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def _last_parts(parts: str, n: str) -> Column:
+    return F.slice(F.col(parts), -F.col(n), F.col(n))
+
+
+def meeting_keys(pairs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of pairs (caller, callee, parts _c, _d) and edges (edge_id, parts _from, _to), each once for every count of
+    parts on the other side, with a hash ``_k`` of the ends that both have."""
+    shapes = lambda df, *cols: F.broadcast(df.select(*cols).distinct())
+
+    def keyed(df: DataFrame, left: str, right: str, *keep: str) -> DataFrame:
+        long = df.withColumns({"_a": F.least("_nc", "_nf"), "_b": F.least("_nd", "_nt")})
+        return long.select(*keep, "_nc", "_nd", "_nf", "_nt", F.xxhash64(_last_parts(left, "_a"), _last_parts(right, "_b")).alias("_k"))
+
+    return (keyed(pairs.crossJoin(shapes(edges, "_nf", "_nt")), "_c", "_d", "caller", "callee"),
+            keyed(edges.crossJoin(shapes(pairs, "_nc", "_nd")), "_from", "_to", "edge_id", "_from", "_to"))
 
 
 def match_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(caller, callee, how, matches, edge_id): one row per distinct called pair that meets any CALLS edge.
 
     ``edge_id`` is set only when the match is unique. Exact names come first; for the rest, names
-    may differ by a dotted prefix on either side. That test is an equality of exploded suffixes,
-    so two popular method names do not pair every caller with every edge.
+    may differ by a dotted prefix on either side. So the shorter of two names is the end of the longer one: a pair
+    whose names have so many parts meets the edges whose names have so many parts by the ends that both have. Each row
+    is sent once for every count of parts on the other side, with a hash of those ends, and two popular method names
+    do not pair every caller with every edge.
     """
+    split = lambda c: F.split(c, r"\.")
     e = CutTable(edges.where(F.upper("kind") == "CALLS").select(
-        F.col("id").alias("edge_id"), normalize_symbol("from_id").alias("_from"), normalize_symbol("to_id").alias("_to"))).df
-    p = CutTable(pairs.select("caller", "callee", normalize_symbol("caller").alias("_c"), normalize_symbol("callee").alias("_d"))).df
-    one = F.when(F.col("matches") == 1, F.col("edge_id"))
-    exact = p.join(e, (F.col("_c") == F.col("_from")) & (F.col("_d") == F.col("_to"))).groupBy("caller", "callee").agg(
-        F.count(F.lit(1)).alias("matches"), F.min("edge_id").alias("edge_id")).withColumns({"edge_id": one, "how": F.lit("exact")})
-    exact = CutTable(exact).df
-    rest = CutTable(p.where("_c <> '' AND _d <> ''").join(exact.select("caller", "callee"), ["caller", "callee"], "left_anti")).df
-
-    def keyed(df, left, right, keep, whole_first):
-        """Every form of a name pair as (which sides are shortened, key, key), one explode per row."""
-        form = lambda mode, a, b: F.struct(F.lit(mode).alias("mode"), a.alias("a"), b.alias("b"))
-        a, b = F.col(left), F.col(right)
-        modes = ("ff", "fs", "sf", "ss") if whole_first else ("ss", "sf", "fs", "ff")
-        forms = F.concat(
-            F.array(form(modes[0], a, b)), F.transform(_dotted_suffixes(b), lambda y: form(modes[1], a, y)),
-            F.transform(_dotted_suffixes(a), lambda x: form(modes[2], x, b)),
-            F.flatten(F.transform(_dotted_suffixes(a), lambda x: F.transform(_dotted_suffixes(b), lambda y: form(modes[3], x, y)))))
-        return df.select(*keep, F.explode(forms).alias("_f")).select(*keep, "_f.*")
-
-    tail = lambda c: F.element_at(F.split(c, r"\."), -1)
-    ends = rest.select(tail("_c").alias("_x"), tail("_d").alias("_y")).distinct()
-    near = e.withColumns({"_x": tail("_from"), "_y": tail("_to")}).join(ends, ["_x", "_y"], "left_semi")
-    # A side that is whole in the call is shortened in the edge, and the other way round.
-    suffix = keyed(rest, "_c", "_d", ["caller", "callee"], True).join(keyed(near, "_from", "_to", ["edge_id"], False), ["mode", "a", "b"])
-    suffix = suffix.select("caller", "callee", "edge_id").distinct().groupBy("caller", "callee").agg(
-        F.count(F.lit(1)).alias("matches"), F.min("edge_id").alias("edge_id")).withColumns({"edge_id": one, "how": F.lit("suffix")})
-    return CutTable(exact.unionByName(suffix)).df
+        F.col("id").alias("edge_id"), split(normalize_symbol("from_id")).alias("_from"), split(normalize_symbol("to_id")).alias("_to"))
+        .withColumns({"_nf": F.size("_from"), "_nt": F.size("_to")})).df
+    p = CutTable(pairs.select("caller", "callee", split(normalize_symbol("caller")).alias("_c"), split(normalize_symbol("callee")).alias("_d"))
+                 .withColumns({"_nc": F.size("_c"), "_nd": F.size("_d")})).df
+    asked, known = meeting_keys(p, e)
+    c, d = split(normalize_symbol("caller")), split(normalize_symbol("callee"))
+    same = lambda name, part, n, m: F.slice(name, -F.least(n, m), F.least(n, m)) == F.slice(part, -F.least(n, m), F.least(n, m))
+    met = asked.join(known, ["_nc", "_nd", "_nf", "_nt", "_k"]).where(same(c, F.col("_from"), "_nc", "_nf") & same(d, F.col("_to"), "_nd", "_nt"))
+    whole = (F.col("_nc") == F.col("_nf")) & (F.col("_nd") == F.col("_nt"))
+    named = (normalize_symbol("caller") != "") & (normalize_symbol("callee") != "")
+    each = met.where(whole | named).groupBy("caller", "callee", "edge_id").agg(F.count_if(whole).alias("_n"))
+    exact = F.col("_n") > 0
+    found = each.groupBy("caller", "callee").agg(
+        F.sum("_n").alias("_exact"), F.min(F.when(exact, F.col("edge_id"))).alias("_own"), F.count(F.lit(1)).alias("_all"), F.min("edge_id").alias("_any"))
+    matches = F.when(F.col("_exact") > 0, F.col("_exact")).otherwise(F.col("_all"))
+    one = F.when(matches == 1, F.when(F.col("_exact") > 0, F.col("_own")).otherwise(F.col("_any")))
+    return CutTable(found.select("caller", "callee", matches.alias("matches"), one.alias("edge_id"),
+                                 F.when(F.col("_exact") > 0, "exact").otherwise("suffix").alias("how"))).df
 
 
 def match_calls(calls: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
