@@ -67,16 +67,14 @@ DEPTH = 4
 
 
 def _single(spark, sf):
-    nodes = P.nodes(spark, sf)
-    edges = cut(Q.edge_quality(graph_edges(spark, sf)))
     question = spark.sql(ONE.replace("NULL, NULL", "CAST(NULL AS STRING), CAST(NULL AS STRING)"))
-    return nodes, edges, I.impact_query(nodes, edges, question, "both", DEPTH)
+    return I.impact_of_rows(P.nodes(spark, sf), P.edge_rows(spark, sf), question, DEPTH)
 
 
 @query("E06_impact_query", using("active", "nodes") + walk_sql(_ONE_SEED, DEPTH) +
        "SELECT node_id, coalesce(n.kind, 'FUNCTION') AS kind, depth, round(confidence, 6) AS confidence FROM visited v LEFT JOIN nodes n ON n.id = v.node_id WHERE depth > 0")
 def e06(spark, sf):
-    _, _, out = _single(spark, sf)
+    out = _single(spark, sf)
     return out["reached"].select("node_id", "kind", "depth", r6("confidence").alias("confidence"))
 
 
@@ -84,13 +82,13 @@ def e06(spark, sf):
        f"""SELECT id AS edge_id FROM active JOIN visited v ON v.node_id = from_id AND v.depth < {DEPTH}
            UNION SELECT id FROM active JOIN visited v ON v.node_id = to_id AND v.depth < {DEPTH}""")
 def e06b(spark, sf):
-    _, _, out = _single(spark, sf)
+    out = _single(spark, sf)
     return out["edges"].select("edge_id")
 
 
 @query("E08_explanation_chain", using("active") + walk_sql(_ONE_SEED, DEPTH) + "SELECT node_id, chain FROM visited WHERE depth > 0")
 def e08(spark, sf):
-    _, _, out = _single(spark, sf)
+    out = _single(spark, sf)
     return out["reached"].select("node_id", "chain")
 
 
@@ -109,7 +107,7 @@ _CHAIN = "CASE WHEN c >= 0.9 THEN 'confirmed' WHEN c >= 0.75 THEN 'high_probabil
 @query("E10_chain_confidence", using("active") + walk_sql(_ONE_SEED, DEPTH) + f"""SELECT node_id, round(confidence, 6) AS path_confidence,
    round(c, 6) AS chain_confidence FROM (SELECT *, pow(product, 1.0 / depth) AS c FROM visited WHERE depth > 0)""")
 def e10(spark, sf):
-    _, _, out = _single(spark, sf)
+    out = _single(spark, sf)
     return out["reached"].select("node_id", r6("confidence").alias("path_confidence"), r6(I.chain_confidence()).alias("chain_confidence"))
 
 
@@ -137,7 +135,7 @@ _SCORED = f""", scored AS (SELECT v.node_id, depth, CAST(CASE WHEN n.id IS NULL
 @query("E13_rank_impact", using("active", "nodes") + walk_sql(_ONE_SEED, DEPTH) + _SCORED + f"""SELECT node_id, depth, node_criticality,
    round(c, 6) AS path_confidence, {_CHAIN} AS confidence_status, round(impact_score, 6) AS impact_score FROM ranked""")
 def e13(spark, sf):
-    _, _, out = _single(spark, sf)
+    out = _single(spark, sf)
     return I.rank_impact(out["reached"]).select("node_id", "depth", "node_criticality", r6("path_confidence").alias("path_confidence"),
                                                 "confidence_status", r6("impact_score").alias("impact_score"))
 
@@ -145,7 +143,7 @@ def e13(spark, sf):
 @query("E13_top_impact", using("active", "nodes") + walk_sql(_ONE_SEED, DEPTH) + _SCORED +
        "SELECT node_id, round(impact_score, 6) AS impact_score FROM ranked ORDER BY round(impact_score, 6) DESC, node_id LIMIT 50")
 def e13b(spark, sf):
-    _, _, out = _single(spark, sf)
+    out = _single(spark, sf)
     scored = I.rank_impact(out["reached"]).withColumn("impact_score", r6("impact_score"))
     return I.top_impact(scored, 50).select("node_id", "impact_score")
 
@@ -157,7 +155,7 @@ _GROUP = """CASE upper(kind) WHEN 'FILE' THEN 'files' WHEN 'CLASS' THEN 'classes
 @query("E14_group_affected", using("active", "nodes") + walk_sql(_ONE_SEED, DEPTH) + f"""SELECT {_GROUP} AS "group", count(*) AS n, min(node_id) AS first_id
   FROM (SELECT v.node_id, coalesce(n.kind, 'FUNCTION') AS kind FROM visited v LEFT JOIN nodes n ON n.id = v.node_id WHERE depth > 0) GROUP BY 1""")
 def e14(spark, sf):
-    _, _, out = _single(spark, sf)
+    out = _single(spark, sf)
     return I.group_affected(out["reached"]).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_id"))
 
 
