@@ -180,9 +180,8 @@ def _part_queries(spark, sf):
     q = P.run(spark, sf, _PART_Q).withColumn("query_id", F.col("q"))
     seeds = q.select("query_id", F.col("q").alias("node_id"), F.lit(0).alias("rank"))
     edges = cut(Q.edge_quality(graph_edges(spark, sf)))
-    active = Q.active_edges(edges)
-    visited = I.walk(I.hops(active, "both"), seeds, 1)
-    return q, seeds, edges, I.affected_edges(active, visited, "both", 1)
+    # One step expands the seeds alone, so the edges it touches need no walk.
+    return q, seeds, edges, I.affected_edges(Q.active_edges(edges), seeds)
 
 
 @query("E15_direct_neighbours", using("active", "part_q") + """SELECT DISTINCT q AS query_id, 'upstream' AS side, from_id AS node_id FROM part_q JOIN active ON to_id = q
