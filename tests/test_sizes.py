@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from tremor import catalog
+from tremor.catalog import delta as delta_queries
 from tremor.functions import textjoin
 from tremor.operators import extract
 from tremor.plans.loops import cut
@@ -46,3 +47,40 @@ def test_needles_meet_few_texts_they_are_not_in(spark):
     finally:
         textjoin._grams = grams
     assert set(sizes) == {8}
+
+
+def _written(call):
+    """The tables that ``call`` stores, by their columns."""
+    from tremor.plans import loops
+    found, init = [], loops.CutTable.__init__
+
+    def watched(self, df):
+        found.append(df)
+        init(self, df)
+
+    loops.CutTable.__init__ = watched
+    try:
+        call()
+    finally:
+        loops.CutTable.__init__ = init
+    return found
+
+
+def test_review_walks_carry_no_paths(spark):
+    """A row of a review's walk is three numbers, and a symbol is walked once however many changes touch it."""
+    stored = _written(lambda: catalog.QUERIES["F06_review_report"](spark, "/root/testdata/sf0.001").count())
+    assert not any("path" in df.columns and "chain" in df.columns for df in stored)
+    walked = [df for df in stored if df.columns == ["s", "n", "depth"]]
+    assert walked and all(dict(df.dtypes)[c] in ("bigint", "int") for df in walked for c in df.columns)
+
+
+def test_facts_of_a_state_are_computed_once(spark):
+    """The context of a rerun reads both states' observations once each, not once for every join."""
+    asked = []
+    rows = delta_queries.P.edge_rows
+    delta_queries.P.edge_rows = lambda *a: asked.append(a) or rows(*a)
+    try:
+        out = catalog.QUERIES["G06_context_facts"](spark, "/root/testdata/sf0.001")
+    finally:
+        delta_queries.P.edge_rows = rows
+    assert len(asked) == 2 and "lineitem" not in "".join(out.inputFiles())
