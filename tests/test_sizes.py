@@ -84,3 +84,23 @@ def test_facts_of_a_state_are_computed_once(spark):
     finally:
         delta_queries.P.edge_rows = rows
     assert len(asked) == 2 and "lineitem" not in "".join(out.inputFiles())
+
+
+def test_few_needles_are_looked_for_without_grams(spark, monkeypatch):
+    """Both ways give the same rows; a handful of needles is met without cutting the texts into grams."""
+    hay = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat", "a License", "", None, "other the the", "x"])], "i int, text string")
+    needles = spark.createDataFrame([("the",), ("License",), ("the",), ("",), (None,), ("x",), ("absent",)], "needle string")
+    got = lambda: sorted((r["i"], r["needle"]) for r in textjoin.contains_join(hay, "text", needles, "needle").collect())
+    grams, cuts = textjoin._grams, []
+    monkeypatch.setattr(textjoin, "_grams", lambda text, n: cuts.append(n) or grams(text, n))
+    few = got()
+    assert few == [(0, "the"), (0, "the"), (1, "License"), (4, "the"), (4, "the"), (5, "x")] and not cuts
+    monkeypatch.setattr(textjoin, "FEW", 0)
+    assert got() == few and cuts
+
+
+def test_summary_and_tests_of_changes_read_stored_parts(spark):
+    """The parts that a query reads more than once are tables, so that their joins are not planned and broadcast again."""
+    for name, columns in (("B14_hygiene_summary", ["id", "reachability", "tags"]), ("B15_unknown_libraries", ["repo", "ecosystem", "name"]),
+                          ("F05_recommended_tests", ["file", "node", "_p"])):
+        assert any(df.columns == columns for df in _written(lambda: catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))), name

@@ -342,7 +342,11 @@ def b13(spark, sf):
   UNION ALL SELECT 'edges.' || CASE c WHEN 1 THEN 'GENERATED_ONLY' WHEN 2 THEN 'TEST_ONLY' WHEN 3 THEN 'UNREACHABLE_CANDIDATE' ELSE 'RUNTIME' END, count(*) FROM ann_e GROUP BY c UNION ALL SELECT 'edges.total', count(*) FROM ann_e
   UNION ALL SELECT 'dependencies.requires_research', count(*) FROM classified WHERE kind = 'UNKNOWN_THIRD_PARTY' UNION ALL SELECT 'files.dead_candidates', count(*) FROM role_rows WHERE i IN (22, 23)""")
 def b14(spark, sf):
-    return H.hygiene_summary(_roles(spark, sf), _classified(spark, sf), _annotated(spark, sf), _ann_edges(spark, sf))
+    # Every part is stored: the summary reads it more than once, and fewer joins are then planned and broadcast at a time.
+    roles = cut(_roles(spark, sf).select("path", "role", "tags"))
+    deps = cut(_classified(spark, sf).select("kind", "requires_research"))
+    nodes = cut(H.annotate_nodes(P.run(spark, sf, _ANN_NODES.format(rows=ROLE_FILES)), roles).select("id", "reachability", "tags"))
+    return H.hygiene_summary(roles, deps, nodes, H.annotate_edges(P.run(spark, sf, _ANN_EDGES), nodes))
 
 
 _PACKS = "SELECT library FROM (VALUES ('numpy'), ('lib-small')) AS v(library)"

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions import columns as X
+from tremor.plans.loops import cut
 
 # Ecosystem aliases, runtime modules and widely known libraries per ecosystem.
 ECOSYSTEM_ALIASES = {
@@ -176,9 +177,9 @@ def candidate_names(deps: DataFrame, declared: DataFrame) -> DataFrame:
 def unknown_libraries(imports: DataFrame, declared: DataFrame, local: DataFrame, dev: DataFrame, packs: DataFrame) -> DataFrame:
     """(repo, library) worth researching: no pack, not local, runtime, development or widely known."""
     cols = ["repo", "ecosystem", "name"]
-    names = imports.select(*cols).unionByName(declared.select(*cols)).distinct()
-    open_ = classify_dependencies(without_pack(names, packs), local, declared, dev).where(
-        ~(F.col("is_local") | F.col("is_stdlib") | F.col("is_runtime") | F.col("is_dev") | F.col("is_common")))
+    names = cut(without_pack(cut(imports.select(*cols).unionByName(declared.select(*cols)).distinct()), packs))
+    open_ = cut(classify_dependencies(names, local, declared, dev).where(
+        ~(F.col("is_local") | F.col("is_stdlib") | F.col("is_runtime") | F.col("is_dev") | F.col("is_common"))).select(*cols))
     found = candidate_names(open_, declared)
     return found.groupBy("repo", F.lower("candidate").alias("_l")).agg(F.min("candidate").alias("library")).select("repo", "library")
 
