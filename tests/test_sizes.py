@@ -104,3 +104,9 @@ def test_summary_and_tests_of_changes_read_stored_parts(spark):
     for name, columns in (("B14_hygiene_summary", ["id", "reachability", "tags"]), ("B15_unknown_libraries", ["repo", "ecosystem", "name"]),
                           ("F05_recommended_tests", ["file", "node", "_p"])):
         assert any(df.columns == columns for df in _written(lambda: catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))), name
+
+
+def test_checks_read_edges_once(spark):
+    """The deduplicated edges feed two kinds of checks: they are stored once, by their keys alone."""
+    stored = _written(lambda: catalog.QUERIES["M04_check_status"](spark, "/root/testdata/sf0.001"))
+    assert sum(df.columns == ["from_id", "to_id", "kind"] for df in stored) == 1 and any("needle" in df.columns and "project" in df.columns for df in stored)
