@@ -110,3 +110,22 @@ def test_checks_read_edges_once(spark):
     """The deduplicated edges feed two kinds of checks: they are stored once, by their keys alone."""
     stored = _written(lambda: catalog.QUERIES["M04_check_status"](spark, "/root/testdata/sf0.001"))
     assert sum(df.columns == ["from_id", "to_id", "kind"] for df in stored) == 1 and any("needle" in df.columns and "project" in df.columns for df in stored)
+
+
+def test_regions_read_calls_once(spark):
+    """Calls are grouped once for nodes and edges, and the queue takes candidates out of one minimum, without joining the regions to it."""
+    stored = _written(lambda: catalog.QUERIES["H05_research_requests"](spark, "/root/testdata/sf0.001"))
+    from_lines = [df for df in stored if "lineitem" in "".join(df.inputFiles())]
+    assert len(from_lines) == 1 and {"flag", "qty"} <= set(from_lines[0].columns)
+
+
+def test_queue_keeps_the_first_of_each_signature(spark):
+    from tremor.operators import coverage
+    rows = [(f"unknown:{k}:{t}", t, k, f, 1, e, c, None, None, None, None) for k, t, f, e, c in [
+        ("unresolved_call", "b", "x.py", True, "go"), ("unresolved_call", "a", "x.py", True, "go"), ("unresolved_call", "c", None, False, "go"), ("unresolved_call", "d", "x.py", True, None),
+        ("isolated_symbol", "e", "x.py", True, None), ("suspicious_edge", "f", None, False, None), ("suspicious_edge", "g", None, False, None)]]
+    regions = spark.createDataFrame(rows, "region_id string, target_id string, kind string, file string, line int, has_evidence boolean, call_name string, receiver string, method string, scope string, taxonomy string")
+    of = lambda df: sorted(tuple(r[c] for c in ("region_id", "file", "call_name", "score", "priority", "outcome")) for r in df.collect())
+    got = coverage.candidates(regions)
+    assert of(got) == of(coverage.rate_regions(regions).where("outcome = 'candidate'")) and [r[0][-1] for r in of(got)] == ["f", "g", "a", "d"]
+    assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()
