@@ -129,3 +129,45 @@ def test_queue_keeps_the_first_of_each_signature(spark):
     got = coverage.candidates(regions)
     assert of(got) == of(coverage.rate_regions(regions).where("outcome = 'candidate'")) and [r[0][-1] for r in of(got)] == ["f", "g", "a", "d"]
     assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_paths_between_pairs_meet_only_edges_that_lead_there(spark):
+    """The path is the one over all edges; observations that lead to no target are not deduplicated."""
+    from tremor.operators import graph, impact
+    ends = [("a", "b"), ("b", "t"), ("a", "c"), ("c", "t"), ("a", "x"), ("x", "y"), ("z", "t"), ("b", "a"), ("t", "a")]
+    rows = spark.createDataFrame([(f"{a}{b}", a, b, "CALLS", "r", "EXTRACTED", 0.9 if b != "c" else 0.95, None, "seen", f"{k:02}") for k, (a, b) in enumerate(ends)],
+                                 "id string, from_id string, to_id string, kind string, rule_id string, source string, confidence double, status string, ev_text string, ord string"
+                                 ).withColumn("warnings", F.lit(None).cast("array<string>"))
+    pairs = spark.createDataFrame([("p", "a", "t"), ("q", "x", "t"), ("r", "z", "c")], "query_id string, from_id string, to_id string")
+    of = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    got = []
+    stored = _written(lambda: got.append(impact.impact_path_of_rows(rows, pairs)))
+    assert of(got[0]) == of(impact.impact_path(graph.dedupe_edges(rows), pairs)) and of(got[0])[0][5] == "['a', 'c', 't']"
+    assert {r["id"] for df in stored if "quality" in df.columns for r in df.collect()}.isdisjoint({"ax", "xy"})
+
+
+def test_batch_walk_carries_what_its_result_shows(spark):
+    stored = _written(lambda: catalog.QUERIES["E07_impact_batch"](spark, "/root/testdata/sf0.001").count())
+    assert any("path" in df.columns for df in stored) and not any("chain" in df.columns or "node_ids" in df.columns for df in stored)
+
+
+def test_each_request_is_explained_by_its_own_pair(spark):
+    """Two requests of one id are two rows, each with the first edge of its pair and kind."""
+    from tremor.operators import impact
+    edges = spark.createDataFrame([(f"{a}{b}{k}{n}", a, b, k, "EXTRACTED", 0.9, "", None, True, f"{n}") for a, b, k, n in [("a", "b", "CALLS", 2), ("a", "b", "TESTS", 1), ("a", "b", "TESTS", 3), ("a", "c", "CALLS", 1)]],
+                                  "id string, from_id string, to_id string, kind string, source string, confidence double, rule_id string, status string, has_evidence boolean, ord string"
+                                  ).withColumn("warnings", F.lit(None).cast("array<string>"))
+    asked = spark.createDataFrame([("r", "a", "b", "CALLS"), ("r", "a", "c", None), ("s", "a", "b", None), ("t", "a", "b", "HTTP_CALLS"), ("u", None, "b", None)], "request_id string, from_id string, to_id string, kind string")
+    got = sorted((r["request_id"], r["to_id"], r["edge_id"]) for r in impact.explain_edges(edges, asked).collect())
+    assert got == [("r", "b", "abCALLS2"), ("r", "c", "acCALLS1"), ("s", "b", "abTESTS1"), ("t", "b", None), ("u", "b", None)]
+
+
+def test_rebuilt_nodes_read_no_new_edges(spark):
+    """Comparing nodes needs the edges of the state before alone, and what stays is stored once."""
+    asked, rows = [], delta_queries.P.edge_rows
+    delta_queries.P.edge_rows = lambda *a: asked.append(a) or rows(*a)
+    try:
+        stored = _written(lambda: catalog.QUERIES["G08_equal_rebuild"](spark, "/root/testdata/sf0.001"))
+    finally:
+        delta_queries.P.edge_rows = rows
+    assert len(asked) == 1 and any(df.columns == ["id", "kind", "name", "file"] for df in stored)

@@ -167,7 +167,8 @@ BATCH_DEPTH = 3
 @query("E07_impact_batch", using("active") + walk_sql(_ROUTE_SEEDS, BATCH_DEPTH, "downstream") + """SELECT query_id, node_id, depth,
    round(confidence, 6) AS confidence FROM visited WHERE depth > 0""")
 def e07(spark, sf):
-    reached, _ = I.impact_batch(graph_edges(spark, sf), P.run(spark, sf, _ROUTE_SEEDS), "downstream", BATCH_DEPTH)
+    reached, _ = I.impact_batch_of_rows(P.edge_rows(spark, sf), P.run(spark, sf, _ROUTE_SEEDS), "downstream", BATCH_DEPTH,
+                                        without=["edge_ids", "node_ids", "chain", "product", "proven", "ambiguous", "unresolved"])
     return reached.select("query_id", "node_id", "depth", r6("confidence").alias("confidence"))
 
 
@@ -236,7 +237,7 @@ define("pairs", _PAIRS)
    CASE WHEN proven THEN 'confirmed' WHEN v.node_id IS NOT NULL THEN 'likely' END AS path_status
   FROM pairs p LEFT JOIN visited v ON v.query_id = p.query_id AND v.node_id = p.to_id""")
 def e18(spark, sf):
-    out = I.impact_path(graph_edges(spark, sf), P.run(spark, sf, _PAIRS), max_depth=20)
+    out = I.impact_path_of_rows(P.edge_rows(spark, sf), P.run(spark, sf, _PAIRS), max_depth=20)
     return out.select("query_id", "from_id", "to_id", "found", "depth", F.array_join("node_ids", "|").alias("node_ids"),
                       r6("confidence").alias("confidence"), r6("chain_confidence").alias("chain_confidence"), "path_status")
 
