@@ -102,3 +102,14 @@ def test_later_stages_after_the_jaccard_stage(spark, small, tmp_path):
     items = [shingles(words_of(r["text"])) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     dirty = {k for k, t in pairs("near_duplicates") if any(len(i & shingles(words_of(t))) >= 0.8 * len(i) for i in items)}
     assert dirty and {k for k, _ in pairs("decontaminated")} == set(unique) - dirty
+
+
+def test_fingerprints_come_first_and_copies_of_one_text_meet_it(spark, monkeypatch):
+    """All fingerprints are searched by op10's links; then each copy is held against the text it was made from, not against a node of each bucket."""
+    base = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join([*base[:k % 60], f"x{k}", *base[k % 60 + 1:]])) for k in range(400)] + [(1000, " ".join(base)), (1001, "some other text of a few words")]
+    asked, pairs, linked, similar = [], [], near_copies.simhash.linked, near_copies._similar
+    monkeypatch.setattr(near_copies.simhash, "linked", lambda fps, *a: asked.append(fps.count()) or linked(fps, *a))
+    monkeypatch.setattr(near_copies, "_similar", lambda p, sets: pairs.append(p.count()) or similar(p, sets))
+    assert kept(spark, spark.createDataFrame(docs, "doc_id bigint, text string")) == slow_keepers(docs) == [0, 1001]
+    assert len(asked) == 1 and asked[0] > 300 and sum(pairs) < 10 * 400

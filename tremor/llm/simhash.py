@@ -236,6 +236,15 @@ def links(fps: DataFrame, parts: list[Part], distance: int = DISTANCE, block: in
 
 # --- groups -----------------------------------------------------------------------------------
 
+def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(node_id, component) of the fingerprints that have a link, over all of ``fps``, a stored table of distinct ``fp``."""
+    total = fps.count()
+    share = min(1.0, 2.0 * SAMPLE / max(total, 1))
+    picked = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < F.lit(share * float(1 << 40))).limit(SAMPLE).toPandas()["fp"]
+    sample = np.sort(picked.to_numpy(np.int64)).view(np.uint64)
+    return components(CutTable(links(fps, plan(sample, total, distance), distance)).df)
+
+
 def group(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, row_hash, fp, component_id, keeper_hash) per row of ``docs``.
 
@@ -245,12 +254,7 @@ def group(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> Data
     """
     marked = CutTable(fingerprints(docs, words)).df
     nodes = CutTable(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("low"))).df
-    total = nodes.count()
-    share = min(1.0, 2.0 * SAMPLE / max(total, 1))
-    picked = nodes.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < F.lit(share * float(1 << 40))).limit(SAMPLE).toPandas()["fp"]
-    sample = np.sort(picked.to_numpy(np.int64)).view(np.uint64)
-    found = CutTable(links(nodes.select("fp"), plan(sample, total, distance), distance)).df
-    comp = CutTable(components(found)).df
+    comp = CutTable(linked(nodes.select("fp"), distance)).df
     lows = comp.join(nodes, comp["node_id"] == nodes["fp"]).groupBy("component").agg(F.min("low").alias("lowest"))
     known = comp.join(lows, "component").select(F.col("node_id").alias("fp"), "lowest")
     resolved = CutTable(nodes.join(known, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("low"))).df
