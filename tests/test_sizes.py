@@ -171,3 +171,48 @@ def test_rebuilt_nodes_read_no_new_edges(spark):
     finally:
         delta_queries.P.edge_rows = rows
     assert len(asked) == 1 and any(df.columns == ["id", "kind", "name", "file"] for df in stored)
+
+
+_ROWS = "id string, from_id string, to_id string, kind string, rule_id string, source string, confidence double, status string, ev_text string, ev_file string, ev_line int, ord string, shipped int"
+
+
+def _observations(spark):
+    """Lone rows, repeated ids and ends, one id of two pairs of ends, blank ends, no order, no evidence; in states 1, 2, both or none."""
+    rows = [("ab", "a", "b", "CALLS", "r", 1), ("ac", "a", "c", "CALLS", "r", 3), ("ac", "a", "c", "CALLS", "q", 2), ("x", "a", "d", "CALLS", "r", 1), ("x", "b", "d", "CALLS", "s", 2),
+            ("y", "a", "d", "CALLS", "s", 3), ("z1", "e", "f", "TESTS", "r", 3), ("z2", "e", "f", "TESTS", "r", 1), ("bl", " ", "b", "CALLS", "r", 3), ("bl", "g", "b", "CALLS", "r", 3), ("n", "h", "i", "CALLS", None, 0),
+            ("o", "j", "k", "CALLS", "r", 2), (None, "l", "m", "CALLS", "r", 3)]
+    full = [(i, a, b, k, r, "EXTRACTED" if n % 2 else "INFERRED", 0.5 + n / 100, "weak" if n % 3 else None, None if n % 5 == 4 else "seen", f"f{n}.py", n, None if i == "o" else f"{n:02}", s) for n, (i, a, b, k, r, s) in enumerate(rows)]
+    return spark.createDataFrame(full, _ROWS).withColumn("warnings", F.when(F.col("ev_line") % 4 == 1, F.array(F.lit("w"))))
+
+
+def _all(df):
+    return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+
+def test_lone_observations_are_their_edges(spark, monkeypatch):
+    """Only observations whose id or ends occur again are dealt out and merged; the edges and their places are those of the whole."""
+    from tremor.operators import graph
+    rows = _observations(spark)
+    lone, shared = graph.apart(rows)
+    assert sorted(r["id"] for r in lone.collect()) == ["ab", "n"] and shared.count() == rows.count() - 2
+    edges, placed = _all(graph.dedupe_edges(rows)), _all(graph.placed_edges(rows))
+    monkeypatch.setattr(graph, "FEW_SHARED", 0)
+    assert graph.apart(rows)[0] is None and _all(graph.dedupe_edges(rows)) == edges and _all(graph.placed_edges(rows)) == placed
+
+
+def test_difference_of_two_states_of_observations(spark):
+    from tremor.operators import delta, facts, graph
+    rows = _observations(spark)
+    nodes = spark.createDataFrame([("a", "CLASS", "A", "a.py", 1, None), ("a", "CLASS", "A", "a.py", 2, None), ("b", "METHOD", None, None, None, 2.0)], "id string, kind string, name string, file string, line int, criticality double")
+    states = {w: rows.where(f"shipped IN ({w}, 3)") for w in (1, 2)}
+    old, new = (facts.facts_from_graph(nodes, graph.dedupe_edges(s), graph.evidence_places(s)) for s in states.values())
+    got = delta.fact_diff_of_rows(nodes, rows, "shipped IN (1, 3)", "shipped IN (2, 3)")
+    assert _all(got) == _all(delta.fact_diff(old, new)) and got.count() > 8
+
+
+def test_shuffle_files_go_with_their_execution(spark):
+    rows = spark.range(0, 1000, 1, 4)
+    cut(rows.groupBy((F.col("id") % 7).alias("k")).count())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    again = rows.groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(again.collect()) == sorted(again.collect())
