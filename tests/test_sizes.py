@@ -216,3 +216,10 @@ def test_shuffle_files_go_with_their_execution(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
     again = rows.groupBy((F.col("id") % 7).alias("k")).count()
     assert sorted(again.collect()) == sorted(again.collect())
+
+
+def test_reviews_without_lists_store_numbers(spark):
+    """Required tests and the report meet edges by their numbers: neither stores edges with their ids and orders, and both are the review's."""
+    for name in ("F04_required_tests", "F06_review_report"):
+        stored = _written(lambda: catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert not any({"edge_id", "quality"} <= set(df.columns) or {"ord", "quality"} <= set(df.columns) for df in stored), name
