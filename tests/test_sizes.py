@@ -223,3 +223,8 @@ def test_reviews_without_lists_store_numbers(spark):
     for name in ("F04_required_tests", "F06_review_report"):
         stored = _written(lambda: catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert not any({"edge_id", "quality"} <= set(df.columns) or {"ord", "quality"} <= set(df.columns) for df in stored), name
+
+
+def test_second_run_of_determinism_is_dealt_out_once(spark):
+    stored = _written(lambda: catalog.QUERIES["M06_determinism"](spark, "/root/testdata/sf0.001"))
+    assert sum("ev_text" in df.columns and "shipped" not in df.columns for df in stored) >= 1 and not any("ev_file" in df.columns and "shipped" not in df.columns for df in stored)
