@@ -113,3 +113,21 @@ def test_fingerprints_come_first_and_copies_of_one_text_meet_it(spark, monkeypat
     monkeypatch.setattr(near_copies, "_similar", lambda p, sets: pairs.append(p.count()) or similar(p, sets))
     assert kept(spark, spark.createDataFrame(docs, "doc_id bigint, text string")) == slow_keepers(docs) == [0, 1001]
     assert len(asked) == 1 and asked[0] > 300 and sum(pairs) < 10 * 400
+
+
+def test_every_link_of_a_group_of_fingerprints_is_met(spark):
+    """Groups of equal fingerprints alone, without bands: a first node that is like none of them, chains, and a large group of loose copies."""
+    docs = [(k, " ".join([*[f"w{a}" for a in range(60)][:at], f"x{k}", *[f"w{a}" for a in range(60)][at:]])) for k, at in ((1, 30), (2, 20), (3, 10))]
+    docs = [(0, " ".join(f"z{a}" for a in range(61))), *docs]
+    rng = np.random.default_rng(3)
+    for k in range(100, 220):
+        words = [f"v{a}" for a in range(120)]
+        for at in rng.choice(120, 3, replace=False):
+            words[at] = f"y{k}-{at}"
+        docs.append((k, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    nodes = near_copies._sets(frame, False).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("low"), F.first("n").alias("n"))
+    nodes = near_copies.CutTable(nodes.withColumns({"fp": (F.col("low.doc_id") >= 100).cast("bigint"), "part": F.array().cast("array<bigint>")})).df
+    comp = near_copies.components(near_copies.links(frame, nodes))
+    groups = nodes.join(comp.withColumnRenamed("node_id", "node"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("low.doc_id").alias("d"))
+    assert sorted(r["d"] for r in groups.collect()) == slow_keepers(docs)
